@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, packing, quality, secrets
+from foliant.llm import decontaminate, neardup, packing, quality, secrets
 from foliant.llm.common import shared_path
 from foliant.llm.queries import table, tokenizer_path
 
@@ -22,6 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _counted(judged.withColumn("text", quality.without_lines(F.col("text"), F.col("gone"))).select(*names))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class the document with the least id stays."""
+    return neardup.representatives(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; hit words go from those that stay."""
     return _counted(decontaminate.without_hits(docs, table(spark, sf_dir, "benchmark")))
@@ -36,7 +41,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_sequences(packing.tokenised_pieces(docs, tokenizer_path()))
 
 
-STAGES = [("quality rules", quality_rules), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("best-fit packing", best_fit_packing)]
+STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("best-fit packing", best_fit_packing)]
 
 #: Tokens, signatures and window counts are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

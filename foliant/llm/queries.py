@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, licenses, packing, quality, secrets, substrings, suffixes, urls, warc
+from foliant.llm import decontaminate, licenses, neardup, packing, quality, secrets, substrings, suffixes, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"), keep_bytes=False)
 
@@ -59,7 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_warc_archives, op3_url_filter, op4_substring_dedup, op5_quality_rules, op6_license_scan, op7_decontamination, op9_suffix_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_best_fit_packing, op2_warc_archives, op3_url_filter, op4_substring_dedup, op5_quality_rules, op6_license_scan, op7_decontamination, op8_near_duplicates, op9_suffix_dedup, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {"op2_warc_archives": warc.ORACLE_SQL, "op3_url_filter": urls.oracle_sql()}
