@@ -1,0 +1,233 @@
+"""Binary Word and slide files (compound files): their text, paragraph by paragraph and slide by slide."""
+
+from __future__ import annotations
+
+import re
+import struct
+
+from foliant.sources.office import read_rtf, table
+
+#: The signature, and numbers with a meaning in sector chains.
+SIGNATURE = bytes.fromhex("D0CF11E0A1B11AE1")
+END = 0xFFFFFFFA
+#: Record types of slide files.
+SLIDE_LIST, PERSIST_DIRECTORY, USER_EDIT, SLIDE, NOTES, DRAWING_TEXT, CHARS, BYTES, TEXT_HEADER, SLIDE_PERSIST, DOCUMENT = 4080, 6002, 4085, 1006, 1008, 61453, 4000, 4008, 3999, 1011, 1000
+
+
+class Compound:
+    """Streams of a compound file by name."""
+
+    def __init__(self, data: bytes):
+        if data[:8] != SIGNATURE:
+            raise ValueError("no compound file")
+        self.data = data
+        self.size = 1 << struct.unpack_from("<H", data, 30)[0]
+        self.mini = 1 << struct.unpack_from("<H", data, 32)[0]
+        first, self.cutoff, mini_first, _, more, count = struct.unpack_from("<I4xIIIII", data, 48)
+        blocks = [x for x in struct.unpack_from("<109I", data, 76) if x < END]
+        while more < END and len(blocks) < 1 << 20:
+            row = struct.unpack_from(f"<{self.size // 4}I", data, (more + 1) * self.size)
+            blocks += [x for x in row[:-1] if x < END]
+            more = row[-1]
+        self.next = [x for b in blocks for x in struct.unpack(f"<{self.size // 4}I", self._sector(b))]
+        folder = self._chain(first)
+        self.entries = {}
+        root = (0, 0)
+        for at in range(0, len(folder) - 127, 128):
+            length, kind = struct.unpack_from("<HB", folder, at + 64)
+            name = folder[at : at + max(0, length - 2)].decode("utf-16-le", "replace")
+            where = struct.unpack_from("<IQ", folder, at + 116)
+            if kind == 5:
+                root = where
+            elif kind == 2:
+                self.entries.setdefault(name, where)
+        self.small = self._chain(root[0])
+        self.small_next = [x for (x,) in struct.iter_unpack("<I", self._chain(mini_first))]
+
+    def _sector(self, n: int) -> bytes:
+        return self.data[(n + 1) * self.size : (n + 2) * self.size].ljust(self.size, b"\0")
+
+    def _chain(self, n: int) -> bytes:
+        out, seen = [], 0
+        while n < len(self.next) and seen <= len(self.next):
+            out.append(self._sector(n))
+            n, seen = self.next[n], seen + 1
+        return b"".join(out)
+
+    def read(self, name: str) -> bytes:
+        n, length = self.entries[name]
+        if length >= self.cutoff:
+            return self._chain(n)[:length]
+        out, seen = [], 0
+        while n < len(self.small_next) and seen <= len(self.small_next):
+            out.append(self.small[n * self.mini : (n + 1) * self.mini])
+            n, seen = self.small_next[n], seen + 1
+        return b"".join(out)[:length]
+
+
+def without_fields(text: str) -> str:
+    """Results of fields stay, their instructions go; fields may stand in each other."""
+    out, stack = [], []
+    for c in text:
+        if c == "\x13":
+            stack.append(True)
+        elif c == "\x14" and stack:
+            stack[-1] = False
+        elif c == "\x15" and stack:
+            stack.pop()
+        elif not any(stack):
+            out.append(c)
+    return "".join(out)
+
+
+def word_text(data: bytes) -> str:
+    """The main text of a Word 97 file, put together from its pieces."""
+    book = Compound(data)
+    main = book.read("WordDocument")
+    magic, version = struct.unpack_from("<HH", main)
+    flags = struct.unpack_from("<H", main, 10)[0]
+    if magic != 0xA5EC or version < 0xC1:
+        raise ValueError("older than Word 97")
+    if flags & 0x0100:
+        raise ValueError("the file is encrypted")
+    aside = book.read("1Table" if flags & 0x0200 else "0Table")
+    length = struct.unpack_from("<i", main, 0x4C)[0]
+    at, size = struct.unpack_from("<II", main, 0x01A2)
+    block = aside[at : at + size]
+    place = 0
+    while place < len(block) and block[place] == 1:  # formats come before the pieces
+        place += 3 + struct.unpack_from("<H", block, place + 1)[0]
+    if place >= len(block) or block[place] != 2:
+        raise ValueError("no piece table")
+    pieces = block[place + 5 : place + 5 + struct.unpack_from("<I", block, place + 1)[0]]
+    n = (len(pieces) - 4) // 12
+    bounds = struct.unpack_from(f"<{n + 1}i", pieces)
+    out = []
+    for k in range(n):
+        where = struct.unpack_from("<I", pieces, 4 * (n + 1) + 8 * k + 2)[0]
+        count = bounds[k + 1] - bounds[k]
+        if where & 0x40000000:
+            start = (where & 0x3FFFFFFF) // 2
+            out.append(main[start : start + count].decode("cp1252", "replace"))
+        else:
+            out.append(main[where : where + 2 * count].decode("utf-16-le", "replace"))
+    return "".join(out)[:length]
+
+
+def read_doc(data: bytes, name: str, options: dict) -> tuple[str, dict]:
+    """Paragraphs; runs of cells as tables, a row ending where a cell is empty behind its last mark."""
+    if data[:5] == b"{\\rtf":
+        return read_rtf(data, name, options)
+    out, cells, rows = [f"# {name}", ""], [], []
+    for part in re.findall(r"[^\r\x07\x0c]*[\r\x07\x0c]?", without_fields(word_text(data))):
+        text = re.sub(r"[\x00-\x08\x0e-\x1f]", "", part.rstrip("\r\x07\x0c").replace("\x0b", "\n").replace("\x1e", "-")).strip()
+        if part.endswith("\x07"):
+            if text or not cells or cells[-1:] == [None]:
+                cells.append(text)
+            else:
+                rows.append(cells)
+                cells = []
+            continue
+        if rows and not cells:
+            out += ["", table(rows), ""]
+            rows = []
+        if cells and text:
+            cells.append(text)
+        elif text:
+            out.append(text)
+    if rows:
+        out += ["", table(rows)]
+    if len(out) == 2:
+        raise ValueError("no text; the document may be pictures only")
+    return "\n".join(out).strip() + "\n", {}
+
+
+def records(data: bytes, at: int = 0, end: int | None = None):
+    """(instance, type, start, end) of the records of a stretch, not of those inside them."""
+    end = len(data) if end is None else min(end, len(data))
+    while at + 8 <= end:
+        form, kind, length = struct.unpack_from("<HHI", data, at)
+        yield form, kind, at + 8, min(at + 8 + length, end)
+        at += 8 + length
+
+
+def _texts(data: bytes, at: int, end: int, out: list[str]) -> list[str]:
+    for form, kind, a, z in records(data, at, end):
+        if kind == CHARS:
+            out.append(data[a:z].decode("utf-16-le", "replace"))
+        elif kind == BYTES:
+            out.append(data[a:z].decode("latin-1"))
+        elif form & 0xF == 0xF:
+            _texts(data, a, z, out)
+    return out
+
+
+def slides(stream: bytes, current: bytes) -> list[tuple[list[str], list[str]]]:
+    """(texts, notes) of each slide in order. Edits are a chain from the last to the first; of each object the newest
+    place counts."""
+    edits, at = [], struct.unpack_from("<I", current, 16)[0]
+    while at and at + 8 <= len(stream) and len(edits) < 10_000:
+        if struct.unpack_from("<H", stream, at + 2)[0] != USER_EDIT:
+            break
+        before, folder, document = struct.unpack_from("<III", stream, at + 16)
+        edits.append((folder, document))
+        at = before
+    places: dict[int, int] = {}
+    for folder, _ in reversed(edits):
+        a, z = folder + 8, folder + 8 + struct.unpack_from("<I", stream, folder + 4)[0]
+        while a + 4 <= z:
+            word = struct.unpack_from("<I", stream, a)[0]
+            first, count = word & 0xFFFFF, word >> 20
+            places.update((first + i, struct.unpack_from("<I", stream, a + 4 + 4 * i)[0]) for i in range(count))
+            a += 4 + 4 * count
+    if not edits or edits[0][1] not in places:
+        raise ValueError("no document in the file")
+    root = places[edits[0][1]]
+    length = struct.unpack_from("<I", stream, root + 4)[0]
+    order: list[tuple[int, list[str]]] = []
+    notes: dict[int, list[str]] = {}
+    for form, kind, a, z in records(stream, root + 8, root + 8 + length):
+        if kind != SLIDE_LIST:
+            continue
+        instance = form >> 4
+        for _, k, b, y in records(stream, a, z):
+            if k == SLIDE_PERSIST:
+                number = struct.unpack_from("<I", stream, b)[0]
+                if instance == 0:
+                    order.append((number, []))
+                elif instance == 2 and number in places:
+                    p = places[number]
+                    end = p + 8 + struct.unpack_from("<I", stream, p + 4)[0]
+                    for _, inner, c, _ in records(stream, p + 8, end):
+                        if inner == 1009:
+                            notes[struct.unpack_from("<I", stream, c)[0]] = _texts(stream, p + 8, end, [])
+                            break
+            elif instance == 0 and order and k in (CHARS, BYTES):
+                order[-1][1].append(stream[b:y].decode("utf-16-le" if k == CHARS else "latin-1", "replace"))
+    out = []
+    for number, listed in order:
+        texts, own = list(listed), []
+        if number in places:
+            p = places[number]
+            end = p + 8 + struct.unpack_from("<I", stream, p + 4)[0]
+            texts += _texts(stream, p + 8, end, [])
+            for _, kind, c, _ in records(stream, p + 8, end):
+                if kind == 1007:
+                    own = [n for k, n in notes.items() if k == struct.unpack_from("<I", stream, c + 12)[0]] or []
+                    own = own[0] if own else []
+        out.append((texts, own))
+    return out
+
+
+def read_ppt(data: bytes, name: str, options: dict) -> tuple[str, dict]:
+    book = Compound(data)
+    if "EncryptedSummary" in book.entries:
+        raise ValueError("the file is encrypted")
+    out = [f"# {name}", ""]
+    for n, (texts, notes) in enumerate(slides(book.read("PowerPoint Document"), book.read("Current User")), 1):
+        lines = [x for t in texts for x in (" ".join(p.split()) for p in re.split(r"[\r\x0b]", t)) if x]
+        title, *body = lines or [""]
+        out += [f"## Slide {n}: {title}" if title else f"## Slide {n}", "", *(f"- {b}" for b in body)]
+        spoken = " ".join(" ".join(notes).split())
+        out += (["", f"> Speaker notes: {spoken}"] if spoken else []) + [""]
+    return "\n".join(out).strip() + "\n", {}
