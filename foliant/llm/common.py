@@ -33,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of bounded size between Spark and Python, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(most))
+
+
+def plain_memory() -> None:
+    """Arrow memory from malloc, which gives large blocks back to the system as soon as they are free."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
@@ -66,20 +78,22 @@ def plain_strings(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), "")])
 
 
-def spaced(column: pa.Array, separators: tuple[int, ...] = SEPARATORS) -> pa.Array:
-    """plain_strings() in which each separator byte is a space."""
+def spaced(column: pa.Array, separators: tuple[int, ...] = SEPARATORS, lower: bool = False) -> pa.Array:
+    """plain_strings() in which each separator byte is a space, and A-Z in lower case if asked for."""
     column = plain_strings(column)
     _, offsets, data = column.buffers()
     if data is None or not data.size:
         return column
     table = np.arange(256, dtype=np.uint8)
     table[list(separators)] = 0x20
+    if lower:
+        table[0x41:0x5B] += 0x20
     return pa.LargeStringArray.from_buffers(len(column), offsets, pa.py_buffer(table[np.frombuffer(data, np.uint8)]))
 
 
-def word_table(column: pa.Array, separators: tuple[int, ...] = SEPARATORS) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def word_table(column: pa.Array, separators: tuple[int, ...] = SEPARATORS, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of each text: bounds of each text's words, each word's id, the distinct words by id."""
-    lists = pc.split_pattern(spaced(column, separators), " ")
+    lists = pc.split_pattern(spaced(column, separators, lower), " ")
     flat, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     full = pc.binary_length(flat).to_numpy() > 0
     kept = np.concatenate(([0], np.cumsum(full)))

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import hashed, mix, rolled, same, staged, text_slices, word_table
+from foliant.llm.common import bounded_batches, plain_memory, hashed, mix, rolled, same, staged, text_slices, word_table
 from foliant.llm.graphs import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS, BANDS = 128, 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: What one task verifies at most.
 CHUNK_ROWS, CHUNK_BYTES = 1000, 8 << 20
 #: Members by which a class meets the others of its component first.
@@ -128,6 +128,8 @@ class Linker:
 
     def __init__(self, threshold: float, weighted: list[tuple[np.ndarray, np.ndarray]], start: list[int]):
         self.threshold, self.weighted, self.tried = threshold, weighted, set()
+        self.total = [float(w.sum()) for _, w in weighted]
+        self.plain = [t == len(w) for t, (_, w) in zip(self.total, weighted, strict=True)]
         self.up = list(range(len(weighted)))
         first: dict[int, int] = {}
         for i, label in enumerate(start):
@@ -148,19 +150,25 @@ class Linker:
         if pair in self.tried:
             return False
         a, b = self.weighted[i], self.weighted[j]
-        # what both hold is at most the lighter one's weight, and whole is at least the heavier one's
-        x, y = sorted((a[1].sum(), b[1].sum()))
-        if len(a[1]) == x and len(b[1]) == y and x < self.threshold * y:
-            near = False
+        least = self.threshold - 1e-12
+        if self.plain[i] and self.plain[j]:  # sets: Jaccard similarity
+            if len(a[0]) > len(b[0]):
+                a, b = b, a
+            near = len(a[0]) >= least * len(b[0])
+            if near:
+                at = np.searchsorted(b[0], a[0])
+                common = int((b[0][np.minimum(at, len(b[0]) - 1)] == a[0]).sum())
+                near = common >= least * (len(a[0]) + len(b[0]) - common)
         else:
-            near = similarity(a, b) >= self.threshold - 1e-12
+            near = similarity(a, b) >= least
         if not near:
             self.tried.add(pair)
         return near
 
     def link(self, members: list[int], probes: list[bool]) -> None:
         """Members that share a band: each is compared with those before it that aren't in its class, as long as one of
-        the two is a probe. Classes are lists, the longest first; a hit ends the comparison with a class."""
+        the two is a probe. Classes are lists, the longest first, and a hit ends the comparison with a class; as members
+        come by descending centrality, what lies around one document is found at the first comparison."""
         classes: list[list[int]] = []
         for y in members:
             own, rest = [y], []
@@ -182,9 +190,11 @@ def verified(threshold: float, width: int):
     """An applyInArrow function: links among the rows of a group as (a, b) pairs with the least node of each class."""
 
     def run(table: pa.Table) -> pa.Table:
+        plain_memory()
         seen: set[int] = set()
+        table = table.sort_by([("probe", "descending")])  # who stands twice stands as a probe
         pick = [i for i, n in enumerate(table.column("node").to_pylist()) if not (n in seen or seen.add(n))]
-        table = table.take(pa.array(pick, pa.int64())).sort_by("node").combine_chunks()
+        table = table.take(pa.array(pick, pa.int64())).sort_by([("central", "descending"), ("node", "ascending")]).combine_chunks()
         nodes = table.column("node").to_pylist()
         bounds, grams, weights = shingles(pa.concat_arrays(table.column("text").chunks), width)
         linker = Linker(threshold, [(grams[a:b], weights[a:b].astype(np.float64)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], table.column("label").to_pylist())
@@ -195,18 +205,23 @@ def verified(threshold: float, width: int):
                 bands[h].append(i)
         for members in sorted((m for m in bands.values() if len(m) > 1), key=len, reverse=True):
             linker.link(members, probes)
-        found = [(nodes[i], nodes[linker.find(i)]) for i in range(len(nodes))]
-        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+        least: dict[int, int] = {}
+        for i, n in enumerate(nodes):
+            root = linker.find(i)
+            least[root] = min(n, least.get(root, n))
+        return pa.table([table.column("part"), pa.array(nodes, pa.int64()), pa.array([least[linker.find(i)] for i in range(len(nodes))], pa.int64())], names=["part", "a", "b"])
 
     return run
 
 
 def signed(docs: DataFrame, width: int = SHINGLE, registers: int = REGISTERS, bands: int = BANDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, 128 bits of the text, its bytes, and its bands (none for a text without words), as a written table."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         for whole in batches:
             for part in text_slices(whole, "text", SLICE_BYTES):
                 bounds, grams, weights = shingles(part.column("text"), width)
@@ -220,59 +235,69 @@ def signed(docs: DataFrame, width: int = SHINGLE, registers: int = REGISTERS, ba
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node with the least one of every band that it shares. Linear in a band's members."""
+    """(node, hub, n): each node's bands that others share, the least node of the band, and how many share it. Linear in
+    a band's members."""
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = rows.groupBy(F.col("band").alias("of")).agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top")
-    return rows.join(hubs, F.col("band") == F.col("of")).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = rows.groupBy(F.col("band").alias("of")).agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    return staged(rows.join(hubs, F.col("band") == F.col("of")).select("node", "hub", "n"), "shared-bands")
 
 
 def _link(rows: DataFrame, threshold: float, width: int, name: str) -> DataFrame:
-    """rows: group, node, label, probe, bands, text."""
-    return staged(rows.groupBy("part", "grp").applyInArrow(verified(threshold, width), "a long, b long"), name)
+    """rows: part, grp, node, label, probe, central, bands, text. Links (part, a, b), as a written table."""
+    rows = rows.select("part", "grp", "node", "label", "probe", "central", "bands", "text")
+    return staged(rows.groupBy("part", "grp").applyInArrow(verified(threshold, width), "part long, a long, b long"), name)
 
 
 def labels(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(node, label) of nodes (node, bands, size) in classes of two or more; texts: (node, text), maybe repeated."""
-    part = staged(components(candidates(nodes)), "candidates").withColumnsRenamed({"label": "part"})
-    sized = part.join(nodes.select(F.col("node").alias("n"), "size", "bands"), F.col("node") == F.col("n")).drop("n")
+    shared = candidates(nodes)
+    part = components(shared.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"label": "part"})
+    central = shared.groupBy(F.col("node").alias("m")).agg(F.sum("n").alias("central"))
+    sized = part.join(central, F.col("node") == F.col("m")).join(nodes.select(F.col("node").alias("n"), "size", "bands"), F.col("node") == F.col("n")).drop("m", "n")
+    sized = staged(sized, "candidates")
     parts = sized.groupBy(F.col("part").alias("p")).agg(F.greatest(F.ceil(F.count("*") / chunk_rows), F.ceil(F.sum("size") / chunk_bytes)).cast("long").alias("chunks"))
+    parts = staged(parts, "parts")
     sized = sized.join(parts, F.col("part") == F.col("p")).drop("p", "size")
     rows = staged(sized.join(texts.select(F.col("node").alias("n"), "text"), F.col("node") == F.col("n")).drop("n"), "candidate-texts")
     everyone = rows.withColumns({"grp": F.pmod(F.xxhash64("node"), F.col("chunks")), "label": F.col("node"), "probe": F.lit(True)})
-    links = _link(everyone, threshold, width, "links")
     if parts.filter("chunks > 1").isEmpty():
-        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    large = everyone.filter("chunks > 1").drop("label")
-
-    def classed(found: DataFrame) -> DataFrame:
-        """large with each node's class so far."""
-        known = components(found).select(F.col("node").alias("n"), "label")
-        return large.join(known, F.col("node") == F.col("n"), "left").withColumn("label", F.coalesce("label", "node")).drop("n")
-
-    # classes' first members, taken by chunk so that no class is gathered whole, meet in one place after another
-    now = classed(links)
-    first = now.groupBy("part", "label", "grp").agg(F.min("node").alias("lead"))
-    leads = first.groupBy("part", "label").agg(F.slice(F.sort_array(F.collect_set("lead")), 1, LEADERS).alias("leads")).select(F.explode("leads").alias("lead"))
-    met = now.join(leads, F.col("node") == F.col("lead"), "left_semi")
-    counts = met.groupBy(F.col("part").alias("p")).agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("n_leads"))
-    met = met.join(counts, F.col("part") == F.col("p")).withColumn("grp", F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.col("n_leads")))
-    links = links.unionByName(_link(met, threshold, width, "leader-links"))
-    # who is still outside the largest class of its component is compared with all chunks of the component
-    now = staged(classed(links), "classed")
-    sizes = now.groupBy("part", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy(F.col("part").alias("p")).agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")).filter("classes > 1")
-    ranked = now.join(largest, F.col("part") == F.col("p")).drop("p")
-    outside = ranked.filter(F.col("label") != F.col("top.label"))
-    blocks = outside.groupBy(F.col("part").alias("p")).agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("blocks"))
-    outside = outside.join(blocks, F.col("part") == F.col("p")).withColumn("block", F.pmod(F.xxhash64(F.lit(2), F.col("node")), F.col("blocks")))
-    columns = ["part", "grp", "node", "label", "probe", "bands", "text"]
-    cell = lambda chunk, block: (chunk * F.lit(1 << 31) + block).alias("grp")
-    probes = outside.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "block", "node", "label", F.lit(True).alias("probe"), "bands", "text")
-    probes = probes.select("part", cell(F.col("chunk"), F.col("block")), *columns[2:])
-    others = ranked.join(blocks, F.col("part") == F.col("p")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    others = others.select("part", cell(F.col("grp"), F.col("block")), "node", "label", F.lit(False).alias("probe"), "bands", "text")
-    links = links.unionByName(_link(probes.unionByName(others), threshold, width, "outside-links"))
-    return components(links)
+        return _link(everyone, threshold, width, "links").select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+    # of a component in several chunks, the documents that share bands with most others stand in every chunk
+    large = rows.filter("chunks > 1")
+    lead = large.groupBy("part", F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.lit(LEADERS))).agg(F.max(F.struct("central", "node")).alias("lead")).select(F.col("lead.node").alias("lead"))
+    lead = staged(lead, "leaders")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    leaders = large.join(lead, F.col("node") == F.col("lead"), "left_semi").withColumns({"grp": every, "label": F.col("node"), "probe": F.lit(True)})
+    links = _link(everyone.unionByName(leaders), threshold, width, "links")
+
+    def labelled(found: DataFrame, again: DataFrame) -> DataFrame:
+        """found (node, label) after labels were linked, again: (node, label) of labels in larger components."""
+        again = again.select(F.col("node").alias("o"), F.col("label").alias("into"))
+        return found.join(again, F.col("label") == F.col("o"), "left").withColumn("label", F.coalesce("into", "label")).drop("o", "into")
+
+    across = links.join(lead, F.col("a") == F.col("lead"), "left_semi").filter("a <> b").select("a", "b")
+    found = labelled(links.select("part", F.col("a").alias("node"), F.col("b").alias("label")), components(across))
+    found = staged(found.groupBy("part", "node").agg(F.min("label").alias("label")), "classed")
+    # who is outside the largest class of its component is compared with all chunks of the component
+    sizes = found.join(parts.filter("chunks > 1"), F.col("part") == F.col("p")).groupBy("part", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy(F.col("part").alias("q")).agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).filter("all > top.n")
+    largest = staged(largest.select("q", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / chunk_rows).cast("long").alias("blocks")), "largest")
+    if largest.isEmpty():
+        return found.select("node", "label")
+    own = found.select(F.col("node").alias("o"), "label")
+    now = large.join(F.broadcast(largest) if largest.count() < 10_000 else largest, F.col("part") == F.col("q")).join(own, F.col("node") == F.col("o")).drop("q", "o")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cell = (F.col("grp") * F.lit(1 << 31) + F.col("block")).alias("grp")
+    outside = now.filter("label <> top").withColumns({"block": F.pmod(F.xxhash64(F.lit(2), F.col("node")), F.col("blocks")), "probe": F.lit(True), "grp": every})
+    others = now.withColumns({"grp": F.pmod(F.xxhash64("node"), F.col("chunks")), "probe": F.lit(False), "block": block})
+    names = ["part", cell, "node", "label", "probe", "central", "bands", "text"]
+    links = _link(outside.select(*names).unionByName(others.select(*names)), threshold, width, "outside-links")
+    joined = links.join(own, F.col("a") == F.col("o")).select(F.col("label").alias("la"), "b").join(own, F.col("b") == F.col("o"))
+    joined = staged(joined.select(F.col("la").alias("a"), F.col("label").alias("b")).filter("a <> b").distinct(), "linked-labels")
+    if joined.isEmpty():
+        return found.select("node", "label")
+    return labelled(found.select("node", "label"), components(joined))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
