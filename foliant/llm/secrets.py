@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.common import bounded_batches, plain_memory
+
 #: The patterns of the base kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -114,12 +116,14 @@ def secret_spans(docs: DataFrame, classes=CLASSES, allow: tuple[str, ...] = ALLO
     """One row per document: its base and all spans as arrays of (kind, start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         named = lambda found: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found]
         for batch in batches:
             found = [all_spans(t.as_py() or "", classes, allow) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([named([x for x in f if x[1] < 3]) for f in found], spans), pa.array(list(map(named, found)), spans)], names=["doc_id", "base", "spans"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     one = "array<struct<kind:string,start:long,end:long>>"
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, base {one}, spans {one}")
@@ -128,6 +132,8 @@ def secret_spans(docs: DataFrame, classes=CLASSES, allow: tuple[str, ...] = ALLO
 def redacted(docs: DataFrame, mark: str = "[SECRET]", classes=CLASSES, allow: tuple[str, ...] = ALLOW, text_column: str = "text") -> DataFrame:
     """docs, every column kept, with each stretch that spans cover replaced by a mark. A null text stays null."""
 
+    bounded_batches(docs.sparkSession)
+
     def clean(text: str) -> str:
         out, at = [], 0
         for a, _, b in all_spans(text, classes, allow):

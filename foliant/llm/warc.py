@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import same, shared_path, staged
+from foliant.llm.common import bounded_batches, plain_memory, same, shared_path, staged
 
 #: Magic numbers of the dictionary's skippable frame and of a Zstandard frame; the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -185,7 +185,10 @@ def with_revisits(pages: DataFrame, least: int = 0, id_column: str = "page_id",
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the rows of with_revisits(); returns the manifest (archive, records, bytes), itself a written table."""
 
+    bounded_batches(records.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         fs, base = opened(folder)
         writer, done, name = None, [], ""
         for batch in batches:
