@@ -12,6 +12,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,42 +22,72 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import staged, text_slices, word_table
+from foliant.llm.common import bounded_batches, plain_memory, staged, text_slices, word_table
 
 CAPACITY = 4096
 END_ID = 1
 SHARD_ROWS = 50_000
-#: Words of which a task remembers the ids at most.
-REMEMBERED = 1_000_000
+SLICE_BYTES = 8 << 20
+#: Words of one generation that a task remembers.
+REMEMBERED = 500_000
+WORDS_AT_ONCE = 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space in the tokenizer's own sense; splitting there never changes ids.
 CUTS = (0x20, 0x09, 0x0A, 0x0D)
 
 
 class WordTokenizer:
-    """Ids of whole texts, each distinct word being encoded once."""
+    """Ids of whole texts, each distinct word of a slice being looked up or encoded once.
+
+    Words are remembered in two generations: where the newer one is full it becomes the older, whose words are forgotten
+    unless they were met again. Ids are kept as bytes, which is compact."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.lowers = '"Lowercase"' in spec
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, words: list[str]) -> None:
+        """Remembers the words' ids. The tokenizer's bulky results live for some words at a time."""
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            some = words[i : i + WORDS_AT_ONCE]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) * 4
+            data = np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1]) // 4).tobytes()
+            self.newer.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+
+    def distinct_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids."""
+        if len(self.newer) > REMEMBERED:
+            self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
+        missing = []
+        for w in words:
+            if w not in newer:
+                if (ids := older.get(w)) is None:
+                    missing.append(w)
+                else:
+                    newer[w] = ids
+        self.encode(missing)
+        found = [newer[w] for w in words]
+        return np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), np.uint32)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of each text's ids, and the ids of all texts."""
-        bounds, words, distinct = word_table(texts, CUTS)
-        names = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in names if w not in self.known]
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        lists = [self.known[w] for w in names]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        # the tokenizer lower-cases all but its special tokens, so case is no reason to encode a word twice
+        lower = self.lowers and not pc.any(pc.match_substring(texts, "<|")).as_py()
+        bounds, words, distinct = word_table(texts, CUTS, lower)
+        sizes, flat = self.distinct_ids(distinct.to_pylist())
+        starts = np.cumsum(sizes) - sizes
         each = sizes[words]
         ends = np.concatenate(([0], np.cumsum(each)))
         at = np.repeat(starts[words] - ends[:-1], each) + np.arange(ends[-1])
@@ -71,12 +102,14 @@ def _encoder(spec: str) -> WordTokenizer:
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pieces of at most ``capacity`` ids, one row each; only longer documents are cut. tokenizer: a file's path."""
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         encoder = _encoder(spec.value)
         for whole in batches:
-            for part in text_slices(whole, "text"):
+            for part in text_slices(whole, "text", SLICE_BYTES):
                 bounds, ids = encoder.ids(part.column("text"))
                 n = part.num_rows
                 ends = bounds[1:] + np.arange(n)  # where each document's end id goes
