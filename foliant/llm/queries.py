@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontaminate, licenses, neardup, packing, quality, secrets, substrings, suffixes, urls, warc
+from foliant.llm import decontaminate, licenses, neardup, oracles, packing, quality, secrets, substrings, suffixes, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_warc_archives, op3_url_filter, op4_substring_dedup, op5_quality_rules, op6_license_scan, op7_decontamination, op8_near_duplicates, op9_suffix_dedup, op10_secret_scan)
 }
 
-ORACLES: dict[str, str] = {"op2_warc_archives": warc.ORACLE_SQL, "op3_url_filter": urls.oracle_sql()}
+ORACLES = oracles.ORACLES
