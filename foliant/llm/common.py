@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,8 +42,16 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
 
 
 def plain_memory() -> None:
-    """Arrow memory from malloc, which gives large blocks back to the system as soon as they are free."""
+    """Memory that goes back to the system: Arrow's from malloc, and, where this is glibc, blocks of half a megabyte from
+    the system itself (else the limit rises with use and freed blocks stay), and what is free at the heap's end returned."""
     pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 512 << 10)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 512 << 10)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -200,5 +209,11 @@ def with_run_minima(df: DataFrame, values: str, out: str, width: int) -> DataFra
     return _ladder(df, values, out, width, lambda a, b: F.least(a, b), True)
 
 
+def with_fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once. A filter on a plain column is pushed below what computes it, whose
+    expression then stands in the filter too; here a generator of one row lies between, which filters don't pass."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(x))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import let, same, with_run_hashes, word_hashes, words_column
+from foliant.llm.common import let, same, staged, with_fixed, with_run_hashes, word_hashes, words_column
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -69,7 +69,7 @@ def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
         "n_repeat_words": repeated_words(F.col("__words"), F.col("__windows")),
     }
-    return arrays.withColumns({k: c.cast("long") for k, c in counts.items()}).drop("__words", "__lines", "__hashes", "__windows")
+    return with_fixed(arrays, {k: c.cast("long") for k, c in counts.items()}).drop("__words", "__lines", "__hashes", "__windows")
 
 
 def base_failed() -> Column:
@@ -100,7 +100,9 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
     found = hit.groupBy("__host", "__t1", "__t2").agg(F.sum(F.col("__w") * F.col("__n")).alias("__lost"), F.collect_set("__h1").alias("__gone"))
     # a line's occurrences were summed over all copies of its text
     found = found.join(hosts.select(F.col("__host").alias("__o0"), F.col("__t1").alias("__o1"), F.col("__t2").alias("__o2"), "__copies"), same(F.col("__host"), F.col("__o0")) & (F.col("__t1") == F.col("__o1")) & (F.col("__t2") == F.col("__o2")))
-    return found.select(F.col("__host").alias("__b0"), F.col("__t1").alias("__b1"), F.col("__t2").alias("__b2"), (F.col("__lost") / F.col("__copies")).cast("long").alias("__lost"), "__gone")
+    # a table, so the join with documents has plain exchanges on both sides and AQE may split a group of copies
+    found = found.select(F.col("__host").alias("__b0"), F.col("__t1").alias("__b1"), F.col("__t2").alias("__b2"), (F.col("__lost") / F.col("__copies")).cast("long").alias("__lost"), "__gone")
+    return staged(found, "boilerplate")
 
 
 def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED, keep_text: bool = True, host_column: str = "source", text_column: str = "text") -> DataFrame:
