@@ -6,7 +6,7 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text
@@ -53,6 +53,13 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     began = time.time()
     found = files.detections(files.scan(spark, *args.inputs, output=getattr(args, "output", None)))
     results = files.converted(found, options_of(args)).withColumns({"duration_s": F.lit(0.0), "output": F.lit(None).cast("string")}).cache()
+    try:
+        return finish(args, results, began)
+    finally:
+        results.unpersist()
+
+
+def finish(args: argparse.Namespace, results: DataFrame, began: float) -> int:
     if results.isEmpty():
         print("no files", file=sys.stderr)
         return 2
