@@ -45,8 +45,9 @@ def saved_percent(original: Column, optimized: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
+    """With one decimal from kilobytes on; halves go to the even digit."""
     size = F.greatest(size, F.lit(0)).cast("double")
-    shown = lambda unit, by: F.concat(F.format_string("%.1f", size / by), F.lit(f" {unit}"))
+    shown = lambda unit, by: F.concat(F.format_string("%.1f", F.bround(size / by, 1)), F.lit(f" {unit}"))
     return F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).when(size < 1024**2, shown("KB", 1024)).when(size < 1024**3, shown("MB", 1024**2)).otherwise(shown("GB", 1024**3))
 
 

@@ -154,13 +154,13 @@ def clustered_rows(fragments: DataFrame, keys: list[str]) -> DataFrame:
 
 def joined_words(words: DataFrame, keys: list[str]) -> DataFrame:
     """Per line its words from the left: a space where both neighbours are ASCII or the gap passes 0.55 of the height,
-    three spaces where it passes 1.5 heights."""
-    own = Window.partitionBy(*keys).orderBy("left")
+    three spaces where it passes 1.5 heights. Words of one place come by their text."""
+    own = Window.partitionBy(*keys).orderBy("left", "text")
     before = lambda c: F.lag(c).over(own)
     gap = F.col("left") - (before("left") + before("width"))
     ascii_only = lambda c: c.rlike(r"\A[\x00-\x7f]*\z")
     part = F.when(before("left").isNull(), F.lit("")).when(gap > 1.5 * F.col("height"), F.lit("   ")).when((ascii_only(F.col("text")) & ascii_only(before("text"))) | (gap > 0.55 * F.col("height")), F.lit(" ")).otherwise(F.lit(""))
     pieces = words.withColumn("__piece", F.concat(part, "text"))
-    return pieces.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "__piece"))), lambda x: x["__piece"]), "").alias("line"))
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "text", "__piece"))), lambda x: x["__piece"]), "").alias("line"))
 
 

@@ -21,6 +21,7 @@ POLICIES = ("unique", "fail", "overwrite")
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    path = path.replace("s3a://", "s3://", 1)  # one store, two names
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 

@@ -433,8 +433,8 @@ def as_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.as_of(rows, runs, ["k"], "at", "start", "stop", "state").select("event_id", "state")
 
 
-@query(f"""WITH w AS ({_WORDS}), g AS (SELECT *, "left" - (lag("left") OVER o + lag(width) OVER o) AS gap, lag("left") OVER o IS NULL AS first FROM w WINDOW o AS (PARTITION BY page, top ORDER BY "left"))
-SELECT page, top, string_agg(CASE WHEN first THEN '' WHEN gap > 1.5 * height THEN '   ' ELSE ' ' END || word_no, '' ORDER BY "left") AS line FROM g GROUP BY page, top""")
+@query(f"""WITH w AS ({_WORDS}), g AS (SELECT *, "left" - (lag("left") OVER o + lag(width) OVER o) AS gap, lag("left") OVER o IS NULL AS first FROM w WINDOW o AS (PARTITION BY page, top ORDER BY "left", word_no::VARCHAR))
+SELECT page, top, string_agg(CASE WHEN first THEN '' WHEN gap > 1.5 * height THEN '   ' ELSE ' ' END || word_no, '' ORDER BY "left", word_no::VARCHAR) AS line FROM g GROUP BY page, top""")
 def joined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir).withColumn("text", F.col("word_no").cast("string"))
     return layout.joined_words(words, ["page", "top"])
