@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from foliant.llm import superkmers
-from foliant.llm.common import hashed, mix, rolled, spaced, text_slices, word_table
+from foliant.llm.common import hashed, mix, plain_memory, rolled, spaced, text_slices, word_table
 
 WINDOW = 50
 GRAM = 8
@@ -89,9 +89,9 @@ def spread(runs: tuple[np.ndarray, np.ndarray, np.ndarray], code: np.ndarray, ro
 
 
 def judge(window: int):
-    def judged(table: pa.Table) -> tuple[np.ndarray, ...]:
+    def judged(table: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         doc, key, start, count = (table.column(c).to_numpy() for c in ("doc", "key", "start", "windows"))
-        text = pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.large_binary())
+        text = table.column("text")
         sent = pc.binary_length(text).to_numpy() > 0
         rows = np.flatnonzero(sent)
         coded = pc.dictionary_encode(text.filter(pa.array(sent)))
@@ -150,9 +150,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, keep_text: bool = True,
     joined = superkmers.with_covered(docs, repeated_stretches(docs, window, id_column, text_column), id_column, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         for whole in batches:
-            for part in text_slices(whole, "text"):
-                made = list(cut(part.column("text"), part.column("stretches").to_pylist()))
+            for part in text_slices(whole, "packed", 1 << 20):
+                made = list(cut(superkmers.unpacked(part.column("packed")), part.column("stretches").to_pylist()))
                 columns = [part.column("doc_id"), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([hashlib.sha256(m[2]).hexdigest() for m in made], pa.string())]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if keep_text:

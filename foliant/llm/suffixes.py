@@ -30,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from foliant.llm import superkmers
-from foliant.llm.common import plain_strings, rolled, text_slices
+from foliant.llm.common import plain_memory, plain_strings, rolled, text_slices
 from foliant.llm.substrings import spread
 
 WINDOW = 200
-GRAM = 32
+GRAM = 24
 TRIGGER = 8
 STEP = 32
 
@@ -111,8 +111,8 @@ def dense(keys: np.ndarray) -> np.ndarray:
 
 def phrase_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Ranks of byte strings in byte order."""
-    view = memoryview(data)
-    column = pa.array([view[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.large_binary())
+    raw = data.tobytes()
+    column = pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.large_binary())
     coded = pc.dictionary_encode(column)
     order = pc.sort_indices(coded.dictionary).to_numpy()
     ranks = np.empty(len(order), np.int64)
@@ -154,8 +154,10 @@ def repeated_windows(data: np.ndarray, bounds: np.ndarray, weights: np.ndarray,
 
     bare = np.flatnonzero(room & ~anchored)
     if len(bare):  # exact, as strings
-        rows = np.ascontiguousarray(spare[bare[:, None] + np.arange(window)]).view(f"V{window}").ravel()
-        _, names = np.unique(rows, return_inverse=True)
+        rows = np.empty((len(bare), window), np.uint8)
+        for i in range(0, len(bare), 4096):
+            rows[i : i + 4096] = spare[bare[i : i + 4096, None] + np.arange(window)]
+        names = dense(rows.view(f"V{window}").ravel())
         repeated[bare] = np.bincount(names, weights[owner[bare]])[names] > 1
     if not len(at):
         return repeated
@@ -224,9 +226,9 @@ def settle(known: dict, names: list[int], doc: np.ndarray, key: np.ndarray, star
 
 
 def judge(window: int):
-    def judged(table: pa.Table) -> tuple[np.ndarray, ...]:
+    def judged(table: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         doc, key, start, count, mark = (table.column(c).to_numpy() for c in ("doc", "key", "start", "windows", "mark"))
-        text = pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.large_binary())
+        text = table.column("text")
         sent = pc.binary_length(text).to_numpy() > 0
         rows = np.flatnonzero(sent)
         coded = pc.dictionary_encode(text.filter(pa.array(sent)))
@@ -273,11 +275,12 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, keep_bytes: bool = True,
     joined = superkmers.with_covered(docs, repeated_stretches(docs, window, id_column, text_column), id_column, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         for whole in batches:
-            for part in text_slices(whole, "text"):
+            for part in text_slices(whole, "packed", 1 << 20):
                 made = []
-                for text, own in zip(part.column("text"), part.column("stretches").to_pylist(), strict=True):
-                    view = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
+                for text, own in zip(superkmers.unpacked(part.column("packed")), part.column("stretches").to_pylist(), strict=True):
+                    view = memoryview(text.as_buffer())
                     spans, parts, at = superkmers.merged(own), [], 0
                     for s, e in spans:
                         parts.append(view[at:s])

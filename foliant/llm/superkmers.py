@@ -12,23 +12,26 @@ document. What a task remembers is bounded by REMEMBERED; forgetting costs bytes
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import mix, rolled, same, text_slices, window_min
+from foliant.llm.common import bounded_batches, mix, plain_memory, rolled, same, text_slices, window_min
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: What a task packs before it hands on a blob for each bucket.
+HELD_BYTES = 16 << 20
 #: Bytes of text of which a bucket gets the super-k-mers; its task holds some three times as much, and their windows.
-BUCKET_BYTES = 8 << 20
-REMEMBERED = 300_000
+BUCKET_BYTES = 3 << 19
+REMEMBERED = 100_000
 #: A null id is larger than any other.
 NO_ID = np.iinfo(np.int64).max
-BLOB = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("mark", pa.int64()), ("text", pa.large_binary())])
 
 
 class Units:
@@ -76,15 +79,23 @@ def once(grams: np.ndarray, width: int, first: np.ndarray, counts: np.ndarray, l
     return np.bincount(own, held, len(first)) == 1
 
 
-def to_blob(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, BLOB, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def to_blob(columns: np.ndarray, lengths: np.ndarray, data: bytes) -> bytes:
+    """columns: doc, key, start, windows, mark of each super-k-mer; lengths of their texts, which data holds."""
+    raw = b"".join((struct.pack("<q", len(lengths)), columns.astype("<i8").tobytes(), lengths.astype("<i4").tobytes(), data))
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
-def from_blobs(blobs: list[bytes]) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).combine_chunks()
+def from_blobs(blobs: list[bytes]) -> pa.RecordBatch:
+    columns, lengths, texts = [np.empty((5, 0), np.int64)], [np.empty(0, np.int64)], []
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = struct.unpack_from("<q", raw)[0]
+        columns.append(np.frombuffer(raw, "<i8", 5 * n, 8).reshape(5, n))
+        lengths.append(np.frombuffer(raw, "<i4", n, 8 + 40 * n).astype(np.int64))
+        texts.append(memoryview(raw)[8 + 44 * n :])
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype(np.int64)
+    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(texts))])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in np.concatenate(columns, axis=1)), text], names=["doc", "key", "start", "windows", "mark", "text"])
 
 
 class Packer:
@@ -93,10 +104,12 @@ class Packer:
     def __init__(self, window: int, buckets: int, settle: Callable):
         self.window, self.buckets, self.settle = window, buckets, settle
         self.known: dict = {}
+        self.held: dict[int, list] = {}
+        self.size = 0
 
-    def pack(self, units: Units, docs: np.ndarray, keys: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np.ndarray, least: np.ndarray, lone: np.ndarray) -> pa.RecordBatch | None:
+    def pack(self, units: Units, docs: np.ndarray, keys: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np.ndarray, least: np.ndarray, lone: np.ndarray) -> None:
         if not len(first):
-            return None
+            return
         if len(self.known) > REMEMBERED:
             self.known.clear()
         a, z = units.places(first, first + counts + self.window - 2)
@@ -113,14 +126,20 @@ class Packer:
             a, z, mark = (np.concatenate((x, np.zeros(len(extra), np.int64))) for x in (a, z, mark))
         order = np.argsort(bucket, kind="stable")
         bucket, doc, key, start, counts, a, z, mark = (x[order] for x in (bucket, doc, key, start, counts, a, z, mark))
-        rows, cuts = [], np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             data = b"".join([view[x:y] for x, y in zip(a[i:j].tolist(), z[i:j].tolist(), strict=True)])
-            offsets = np.concatenate(([0], np.cumsum(z[i:j] - a[i:j]))).astype(np.int64)
-            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            columns = [pa.array(x[i:j], pa.int64()) for x in (doc, key, start, counts, mark)]
-            rows.append((int(bucket[i]), to_blob(pa.RecordBatch.from_arrays([*columns, text], schema=BLOB))))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+            self.held.setdefault(int(bucket[i]), []).append((np.stack([x[i:j] for x in (doc, key, start, counts, mark)]), z[i:j] - a[i:j], data))
+            self.size += len(data) + 48 * (j - i)
+
+    def blobs(self) -> pa.RecordBatch:
+        """What was packed so far, a blob for each bucket."""
+        names, rows = sorted(self.held), []
+        for b in names:
+            held = self.held.pop(b)
+            rows.append(to_blob(np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held]), b"".join(h[2] for h in held)))
+        self.size = 0
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
@@ -129,11 +148,13 @@ def ids_of(column: pa.Array) -> np.ndarray:
 
 def bucketed(docs: DataFrame, make_units: Callable, settle: Callable, window: int, gram: int, id_column: str, text_column: str) -> DataFrame:
     """(bucket, blob) of all documents."""
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
     size = read.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(size / BUCKET_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         packer = Packer(window, buckets, settle)
         for whole in batches:
             for part in text_slices(whole, "text", SLICE_BYTES):
@@ -141,8 +162,11 @@ def bucketed(docs: DataFrame, make_units: Callable, settle: Callable, window: in
                 grams = rolled(units.hashes, gram)
                 found = runs(units, grams, window, gram)
                 lone = once(grams, window - gram + 1, *found[1:])
-                if (made := packer.pack(units, ids_of(part.column("doc")), ids_of(part.column("key")), *found, lone)) is not None:
-                    yield made
+                packer.pack(units, ids_of(part.column("doc")), ids_of(part.column("key")), *found, lone)
+                if packer.size > HELD_BYTES:
+                    yield packer.blobs()
+        if packer.size:
+            yield packer.blobs()
 
     return read.mapInArrow(run, "bucket long, blob binary")
 
@@ -151,6 +175,7 @@ def covered(blobs: DataFrame, judge: Callable[[pa.Table], tuple[np.ndarray, ...]
     """(doc, key, start, stop) of windows that ``judge`` finds, bucket by bucket."""
 
     def run(table: pa.Table) -> pa.Table:
+        plain_memory()
         found = judge(from_blobs(table.column("blob").to_pylist()))
         return pa.table([pa.array(x, pa.int64()) for x in found], names=["doc", "key", "start", "stop"])
 
@@ -169,12 +194,28 @@ def window_runs(flags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def with_covered(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, text and the sorted covered stretches of each document, as one array. A document's stretches are no more
-    than its own windows; the join is by id and text, so rows of one id with other texts keep apart."""
+    """doc_id, the text (compressed: it travels) and the sorted covered stretches of each document, as one array. A
+    document's stretches are no more than its own windows; the join is by id and text, so rows of one id with other
+    texts keep apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array([pack(t.as_buffer()) if t.is_valid else None for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("d_key"), packed], names=["doc_id", "d_key", "packed"])
+
     lists = found.groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("stretches"))
     lists = lists.select(F.when(F.col("doc") != int(NO_ID), F.col("doc")).alias("c_doc"), F.col("key").alias("c_key"), "stretches")
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("d_key"), F.col(text_column).alias("text"))
-    return read.join(lists, same(F.col("doc_id"), F.col("c_doc")) & (F.col("d_key") == F.col("c_key")), "left").select("doc_id", "text", "stretches")
+    read = read.mapInArrow(run, "doc_id long, d_key long, packed binary")
+    return read.join(lists, same(F.col("doc_id"), F.col("c_doc")) & (F.col("d_key") == F.col("c_key")), "left").select("doc_id", "packed", "stretches")
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """The texts again; null is empty."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x.as_buffer()) if x.is_valid else b"" for x in column], pa.large_binary()).cast(pa.large_string())
 
 
 def merged(stretches: list[dict] | None) -> list[tuple[int, int]]:

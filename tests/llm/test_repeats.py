@@ -119,8 +119,8 @@ def test_tiny_memory(spark, monkeypatch):
         units = substrings.word_units(pa.array([t for _, t in part], pa.string()))
         ids = np.array([superkmers.NO_ID if d is None else d for d, _ in part])
         found = superkmers.runs(units, superkmers.rolled(units.hashes, 8), 50, 8)
-        made = packed.pack(units, ids, ids, *found, np.ones(len(found[0]), bool))
-        tables += made.column("blob").to_pylist() if made else []
+        packed.pack(units, ids, ids, *found, np.ones(len(found[0]), bool))
+        tables += packed.blobs().column("blob").to_pylist()
     doc, _, start, stop = substrings.judge(50)(superkmers.from_blobs(tables))
     found = defaultdict(set)
     for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True):
