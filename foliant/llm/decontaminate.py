@@ -112,7 +112,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column:
     runs = F.aggregate("__at", F.array().cast("array<struct<start:int,end:int>>"), _joined)
     found = found.withColumn("runs", runs)
     size = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
-    return found.select(F.col("__t1").alias("__h1"), F.col("__t2").alias("__h2"), "runs", size.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("__sets"))).alias("items"))
+    # a table, so the join with documents has plain exchanges on both sides and AQE may split a group of copies
+    return staged(found.select(F.col("__t1").alias("__h1"), F.col("__t2").alias("__h2"), "runs", size.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("__sets"))).alias("items")), "hits")
 
 
 def _joined(runs: Column, at: Column) -> Column:
