@@ -37,11 +37,11 @@ def savings(results: DataFrame) -> DataFrame:
     )
 
 
-def savings_lines(rows: DataFrame) -> DataFrame:
-    """savings() in columns of fixed width."""
+def savings_lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """savings() in columns of fixed width, and the columns to keep."""
     left = lambda c, n: F.when(F.length(c) >= n, c).otherwise(F.rpad(c, n, " "))
     right = lambda c, n: F.when(F.length(c) >= n, c).otherwise(F.lpad(c, n, " "))
-    return rows.select("name", F.concat(
+    return rows.select(*keep, "name", F.concat(
         left(F.col("name"), 28), right(tokens.human_size(F.col("original_size")), 12), right(tokens.human_size(F.col("markdown_size")), 12),
         right(F.concat(F.lit("~"), F.format_number("tokens", 0)), 10), right(F.concat(F.format_string("%.1f", "saved_ratio"), F.lit("%")), 8),
     ).alias("line"))

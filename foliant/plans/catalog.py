@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import kinds, names, tables, text, thai, tokens
-from foliant.operators import chunking, layout, manifest
-from foliant.sources import web
+from foliant.operators import chunking, layout, manifest, readings
+from foliant.sources import files, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -475,3 +475,73 @@ def missing_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("markdown"))
     phrases = docs.select("path", F.explode(F.array(F.lit("the the"), F.lit("of and"), F.substring("markdown", 3, 30))).alias("phrase"))
     return manifest.missing_phrases(docs, phrases)
+
+
+# -- readings and pages -----------------------------------------------------
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_discount")))
+    return lines.selectExpr("l_orderkey AS doc", "l_linenumber AS page", "CASE WHEN l_partkey % 3 = 0 THEN 'words enough for a whole page' ELSE ' x ' END AS text", "l_discount * 10 AS image_share", "l_suppkey % 11 = 0 AS corrupt")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_partkey % 3 <> 0 AND l_discount * 10 >= 0.25 AS image, l_suppkey % 11 = 0 AS corrupt FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL)),
+     n AS (SELECT *, row_number() OVER (PARTITION BY doc, image ORDER BY page) AS n FROM p)
+SELECT doc, page, CASE WHEN corrupt THEN 'read' WHEN image THEN CASE WHEN n <= 2 THEN 'read' ELSE 'skipped' END ELSE 'text' END AS route FROM n""")
+def pages_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.pages_to_read(_pages(spark, sf_dir), most=2).select("doc", "page", "route")
+
+
+@query("""SELECT l_orderkey AS doc, string_agg('## Page ' || (l_linenumber + 1) || CASE WHEN l_suppkey % 11 = 0 THEN ' (OCR)' ELSE '' END || chr(10) || chr(10) || CASE WHEN l_partkey % 3 = 0 THEN 'words enough for a whole page' ELSE 'x' END, chr(10) || chr(10) ORDER BY l_linenumber) AS markdown
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL) GROUP BY l_orderkey""")
+def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.rendered_pages(_pages(spark, sf_dir).withColumnRenamed("corrupt", "ocr"))
+
+
+@query("""WITH l AS (SELECT event_id, (event_id * 29) % 101 AS conf, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN '~ a | *' WHEN 2 THEN 'no' ELSE 'two words' END AS line FROM events)
+SELECT event_id, CASE WHEN conf < CASE WHEN length(replace(line, ' ', '')) <= 3 THEN 60 ELSE 40 END THEN 'dropped' WHEN line = '~ a | *' AND conf < 75 THEN 'noise' WHEN conf < 70 THEN 'review' ELSE 'kept' END AS outcome FROM l""")
+def line_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "events").selectExpr("event_id", "CAST((event_id * 29) % 101 AS DOUBLE) AS mean_conf", "CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN '~ a | *' WHEN 2 THEN 'no' ELSE 'two words' END AS line")
+    return readings.judged_lines(lines).select("event_id", "outcome")
+
+
+@query(f"""WITH w AS (SELECT page, "left", top, width, height FROM ({_WORDS}) WHERE word_no % 3 = 0), i AS (SELECT DISTINCT page, "left" // 16 AS gx, top // 16 AS gy FROM ({_WORDS}))
+SELECT page, gx, gy FROM i WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.page = i.page AND gx BETWEEN "left" // 16 AND ("left" + width - 1) // 16 AND gy BETWEEN top // 16 AND (top + height - 1) // 16)""")
+def uncovered_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir)
+    ink = words.selectExpr("page", "left DIV 16 AS gx", "top DIV 16 AS gy").distinct()
+    return readings.uncovered(ink, words.withColumn("conf", F.when(F.col("word_no") % 3 == 0, 90).otherwise(10)), ["page"])
+
+
+@query("""WITH c AS (SELECT l_orderkey AS sheet, l_linenumber AS r, l_partkey % 4 + 1 AS c, min(l_suppkey) AS v FROM lineitem GROUP BY ALL), m AS (SELECT o_orderkey AS sheet, 1 + o_custkey % 3 AS r1, 1 + o_custkey % 2 AS c1, 2 + o_custkey % 3 AS r2, 3 + o_custkey % 2 AS c2 FROM orders)
+SELECT c.sheet, c.r, c.c, CASE WHEN m.sheet IS NULL THEN c.v ELSE t.v END::VARCHAR AS value FROM c LEFT JOIN m ON c.sheet = m.sheet AND c.r BETWEEN r1 AND r2 AND c.c BETWEEN c1 AND c2 LEFT JOIN c t ON t.sheet = m.sheet AND t.r = r1 AND t.c = c1""")
+def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 4 + 1).alias("c")).agg(F.min("l_suppkey").cast("string").alias("value"))
+    merges = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS sheet", "0 AS n", "1 + o_custkey % 3 AS r1", "1 + o_custkey % 2 AS c1", "2 + o_custkey % 3 AS r2", "3 + o_custkey % 2 AS c2")
+    return readings.filled_merges(cells, merges, ["sheet"])
+
+
+@query(f"""SELECT doc_id, rpad(source || '.txt', 28, ' ') || lpad(printf('%.1f KB', 4.0), 12, ' ') || lpad(CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE printf('%.1f KB', round_even(strlen(text) / 1024, 1)) END, 12, ' ')
+|| lpad('~' || format('{{:,}}', {tokens.estimated_sql('text')}), 10, ' ') AS line FROM documents WHERE doc_id % 10 <> 0""")
+def savings_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lines less the last column, which halves of per cent decide."""
+    rows = _results(spark, sf_dir).withColumn("original_size", F.lit(4096).cast("long"))
+    ids = rows.filter("success").select("doc_id", "source", "success", "markdown", "original_size")
+    lines = ids.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ids.columns if c != "doc_id"))
+    size = F.octet_length("markdown").cast("long")
+    shown = lines.select("doc_id", names.file_name(F.col("source")).alias("name"), F.col("original_size"), size.alias("markdown_size"), tokens.estimated(F.col("markdown")).alias("tokens"), F.lit(0.0).alias("saved_ratio"))
+    return manifest.savings_lines(shown, "doc_id").select("doc_id", F.substring("line", 1, 62).alias("line"))
+
+
+@query("""SELECT doc_id, CASE WHEN suffix IN ('mp3', 'mp4') THEN 'audio and video are not read' WHEN suffix = 'md' THEN 'a result' WHEN suffix = 'zzz' THEN 'unsupported kind' END AS reject_reason
+FROM (SELECT doc_id, (['mp3', 'md', 'pdf', 'zzz', 'HTML', 'mp4', 'py'])[doc_id % 7 + 1] AS suffix FROM documents)""")
+def intake_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.element_at(F.array(*map(F.lit, ("mp3", "md", "pdf", "zzz", "HTML", "mp4", "py"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    paths = table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), suffix).alias("path"))
+    return files.intake(paths).select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("doc_id"), "reject_reason")
+
+
+@query("SELECT doc_id, length(text)::INT + 2 * (doc_id % 5)::INT AS width FROM documents")
+def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.concat("text", F.repeat(F.lit("日"), (F.col("doc_id") % 5).cast("int")), F.lit("ั"))
+    return table(spark, sf_dir, "documents").select("doc_id", tables.display_width(shown).alias("width"))
