@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ascii_lower, words_column
+from foliant.llm.common import ascii_lower, staged, words_column
 
 THRESHOLD = 0.8
 MAX_VOCABULARY = 20_000
@@ -120,6 +120,7 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
 def scanned(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, places (start, label) of base phrases, base_labels, labels and score."""
     found = similar_blocks(docs, templates, threshold, text_column).groupBy(F.col("__t1").alias("__f1"), F.col("__t2").alias("__f2")).agg(F.collect_set("label").alias("__more"), F.max("containment").alias("__score"))
+    found = staged(found, "licenses")  # a table, so AQE may split a group of copies in the join below
     text = F.coalesce(F.col(text_column), F.lit(""))
     base = docs.select(F.col(id_column).alias("doc_id"), ascii_lower(text).alias("__low"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(7), text).alias("__t2"))
     base = base.withColumn("__words", words(F.col("__low")))
