@@ -39,6 +39,8 @@ CHUNK_ROWS, CHUNK_BYTES = 1000, 8 << 20
 #: Members by which a class meets the others of its component first.
 LEADERS = 8
 UNKNOWN = 1 << 62
+#: Misses of one document after which it is compared with all members at once.
+TRIES = 4
 
 
 def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,20 +132,17 @@ class Linker:
         self.threshold, self.weighted, self.tried = threshold, weighted, set()
         self.total = [float(w.sum()) for _, w in weighted]
         self.plain = [t == len(w) for t, (_, w) in zip(self.total, weighted, strict=True)]
-        self.up = list(range(len(weighted)))
+        self.rows: dict[int, np.ndarray] = {}
+        self.postings = None
+        self.label = np.arange(len(weighted))  # the first member of each one's class
         first: dict[int, int] = {}
         for i, label in enumerate(start):
             self.join(first.setdefault(label, i), i)
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
     def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
+        a, b = self.label[i], self.label[j]
+        if a != b:
+            self.label[self.label == max(a, b)] = min(a, b)
 
     def similar(self, i: int, j: int) -> bool:
         pair = (i, j) if i < j else (j, i)
@@ -165,25 +164,59 @@ class Linker:
             self.tried.add(pair)
         return near
 
-    def link(self, members: list[int], probes: list[bool]) -> None:
+    def row(self, y: int) -> np.ndarray:
+        """Of each member 1 if similar to y, 0 if not, 2 where only similarity() tells: common shingles with all members
+        come from one pass over the postings of y's shingles."""
+        if self.postings is None:
+            sizes = np.array([len(w[0]) for w in self.weighted])
+            grams, ids = np.unique(np.concatenate([w[0] for w in self.weighted]), return_inverse=True)
+            order = np.argsort(ids, kind="stable")
+            owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+            self.postings = ids, np.cumsum(sizes) - sizes, np.searchsorted(ids[order], np.arange(len(grams) + 1)), owner, sizes
+        ids, starts, bounds, owner, sizes = self.postings
+        own = ids[starts[y] : starts[y] + sizes[y]]
+        counts = bounds[own + 1] - bounds[own]
+        ends = np.cumsum(counts)
+        members = owner[np.repeat(bounds[own] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        n = len(sizes)
+        common = np.bincount(members, minlength=n)
+        plain = np.array(self.plain)
+        out = (common >= (self.threshold - 1e-12) * (sizes + sizes[y] - common)).astype(np.int8)
+        # weights: what both hold is, in either, at least the threshold's share
+        share = np.bincount(members, np.repeat(self.weighted[y][1], counts), n) / max(self.total[y], 1e-300)
+        mixed = ~plain | (not self.plain[y])
+        out[mixed] = np.where(share[mixed] >= self.threshold - 1e-9, 2, 0)
+        return out
+
+    def link(self, members: list[int], probes: np.ndarray) -> None:
         """Members that share a band: each is compared with those before it that aren't in its class, as long as one of
-        the two is a probe. Classes are lists, the longest first, and a hit ends the comparison with a class; as members
-        come by descending centrality, what lies around one document is found at the first comparison."""
-        classes: list[list[int]] = []
-        for y in members:
-            own, rest = [y], []
-            for group in classes:
-                if self.find(group[0]) == self.find(y):
-                    own = group + own
-                    continue
-                for x in group:
-                    if (probes[x] or probes[y]) and self.similar(x, y):
+        the two is a probe; a hit ends the comparison with a class. As members come by descending centrality, what lies
+        around one document is found at once; who misses TRIES times is compared with all members together."""
+        every = np.array(members)
+        for k in range(1, len(every)):
+            y = int(every[k])
+            others = every[:k] if probes[y] else every[:k][probes[every[:k]]]
+            others = others[self.label[others] != self.label[y]]
+            for _ in range(TRIES if y not in self.rows else 0):
+                if not len(others):
+                    break
+                x = int(others[0])
+                if self.similar(x, y):
+                    self.join(x, y)
+                others = others[1:]
+                others = others[self.label[others] != self.label[y]]
+            if not len(others):
+                continue
+            if y not in self.rows:
+                self.rows[y] = self.row(y)
+            row = self.rows[y]
+            for label in np.unique(self.label[others[row[others] == 1]]).tolist():
+                self.join(label, y)
+            for x in others[row[others] == 2].tolist():
+                if self.label[x] != self.label[y]:
+                    row[x] = similarity(self.weighted[x], self.weighted[y]) >= self.threshold - 1e-12
+                    if row[x]:
                         self.join(x, y)
-                        own = group + own
-                        break
-                else:
-                    rest.append(group)
-            classes = sorted([own, *rest], key=len, reverse=True)
 
 
 def verified(threshold: float, width: int):
@@ -198,7 +231,7 @@ def verified(threshold: float, width: int):
         nodes = table.column("node").to_pylist()
         bounds, grams, weights = shingles(pa.concat_arrays(table.column("text").chunks), width)
         linker = Linker(threshold, [(grams[a:b], weights[a:b].astype(np.float64)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], table.column("label").to_pylist())
-        probes = table.column("probe").to_pylist()
+        probes = np.array(table.column("probe").to_pylist(), bool)
         bands: dict[int, list[int]] = defaultdict(list)
         for i, own in enumerate(table.column("bands").to_pylist()):
             for h in own:
@@ -207,9 +240,9 @@ def verified(threshold: float, width: int):
             linker.link(members, probes)
         least: dict[int, int] = {}
         for i, n in enumerate(nodes):
-            root = linker.find(i)
+            root = int(linker.label[i])
             least[root] = min(n, least.get(root, n))
-        return pa.table([table.column("part"), pa.array(nodes, pa.int64()), pa.array([least[linker.find(i)] for i in range(len(nodes))], pa.int64())], names=["part", "a", "b"])
+        return pa.table([table.column("part"), pa.array(nodes, pa.int64()), pa.array([least[int(linker.label[i])] for i in range(len(nodes))], pa.int64())], names=["part", "a", "b"])
 
     return run
 
@@ -313,6 +346,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
     texts = read.join(names, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")) & same(F.col("id"), F.col("least"))).select("node", "text")
     found = labels(nodes, texts, threshold, width, chunk_rows, chunk_bytes).select(F.col("node").alias("of"), "label")
     judged = names.join(found, F.col("node") == F.col("of"), "left").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "node", F.coalesce("label", "node").alias("label"))
+    judged = staged(judged, "judged")  # a table, so AQE may split a group of copies in the join below
     out = signs.select("doc_id", "k1", "k2").join(judged, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
     return out.select("doc_id", "k1", "k2", "node", F.coalesce("label", "doc_id").alias("class_id"))
 

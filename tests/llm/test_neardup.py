@@ -116,3 +116,20 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     got = {r.node: r.label for r in graphs.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up if x != 900}
+
+
+def test_rows_of_comparisons():
+    """All members at once give what pairs give."""
+    rng = random.Random(5)
+    sets = []
+    for k in range(60):
+        base = rng.sample(range(40), 25)
+        sets.append({**{b: 1 if k % 3 else rng.randint(1, 3) for b in base if rng.random() > 0.1}, 1000 + k: 1})
+    weighted = [(np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], float)) for d in sets]
+    linker = neardup.Linker(0.5, weighted, list(range(60)))
+    for y in range(60):
+        row = linker.row(y)
+        for x in range(60):
+            near = neardup.similarity(weighted[x], weighted[y]) >= 0.5 - 1e-12
+            assert row[x] == 2 or bool(row[x]) == near
+            assert near <= bool(row[x])
