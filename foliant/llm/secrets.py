@@ -57,7 +57,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def window_entropies(run: str, size: int) -> list[float]:
     """Shannon entropy in bits of each window, from counts that change by one character in and one out."""
-    table = [0.0] + [n * math.log2(n) for n in range(1, size + 1)]
+    table = [0.0] + [n * math.log2(n) for n in range(1, size + 2)]  # the new character counts before the old one goes
     counts: dict[str, int] = {}
     total, out = 0.0, []
     for i, c in enumerate(run):
@@ -81,6 +81,7 @@ def entropy_spans(text: str, classes=CLASSES, allow: tuple[str, ...] = ALLOW) ->
         if any(x.search(run) for x in skip):
             continue
         for _, letters, size, limit in classes:
+            spans: list[list[int]] = []  # a later class may start in front of an earlier one's spans
             for part in re.finditer("[" + re.escape("".join(sorted(letters))) + f"]{{{size},}}", run):
                 s = part[0]
                 if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
@@ -88,10 +89,11 @@ def entropy_spans(text: str, classes=CLASSES, allow: tuple[str, ...] = ALLOW) ->
                 for i, h in enumerate(window_entropies(s, size)):
                     if h >= limit:
                         a = m.start() + part.start() + i
-                        if found and a <= found[-1][1]:
-                            found[-1][1] = max(found[-1][1], a + size)
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = a + size
                         else:
-                            found.append([a, a + size])
+                            spans.append([a, a + size])
+            found += spans
     merged: list[list[int]] = []
     for a, b in sorted(map(tuple, found)):
         if merged and a <= merged[-1][1]:

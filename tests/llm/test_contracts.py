@@ -296,6 +296,37 @@ def test_op10_entropy(spark):
     assert [r.text for r in secrets.redacted(docs).orderBy("doc_id").collect()] == ["x [SECRET] y", None, ""]
 
 
+def brute_entropy(text):
+    """The stretches of characters that any window of any class over its limit covers; touching windows are one."""
+    import math
+
+    windows = []
+    for m in re.finditer("[A-Za-z0-9+/=_-]{20,}", text):
+        if any(re.search(x, m[0]) for x in secrets.ALLOW):
+            continue
+        for _, letters, size, limit in secrets.CLASSES:
+            for part in re.finditer("[" + re.escape("".join(letters)) + "]+", m[0]):
+                for i in range(len(part[0]) - size + 1) if re.search("[0-9]", part[0]) and re.search("[A-Za-z]", part[0]) else ():
+                    if -sum(n / size * math.log2(n / size) for n in Counter(part[0][i : i + size]).values()) >= limit - 1e-9:
+                        windows.append((m.start() + part.start() + i, m.start() + part.start() + i + size))
+    spans = []
+    for a, b in sorted(windows):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    return spans
+
+
+def test_op10_base64_before_hex(spark):
+    key, digits = "wJalrXUtnFEMIxK7MDENGxbPxRfiCYzQ83kd9Lm2", "9F86D081884C7D659A2FEAA0C55AD015"
+    for text in (f"see {key}-{digits} here", f"see {key}/{digits} here", f"see {digits}-{key} here", f"see {key}{'-' * 40}{digits}/{key} here", f"{digits} {key}"):
+        assert secrets.entropy_spans(text) == brute_entropy(text)
+        assert all(any(a <= m.start() and m.end() <= b for a, b in secrets.entropy_spans(text)) for m in re.finditer(f"{key}|{digits}", text))
+    docs = spark.createDataFrame([(1, f"x {key}-{digits} y"), (2, f"x {key}/{digits.lower()} y")], "doc_id long, text string")
+    assert all(key[:32] not in r.text and digits[:24] not in r.text.upper() for r in secrets.redacted(docs).collect())
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
