@@ -30,10 +30,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Least length of what counts: of assign the value, of the others the whole.
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Per class: its characters, the window, and the bits of entropy that a window needs.
+#: Per class: its characters, the window, and the bits of entropy that a window needs. The short windows are as long as
+#: the least candidate; small alphabets need fewer bits, base32 lies within the alphanumerics of one case.
 CLASSES = (
     ("hex", frozenset("0123456789abcdefABCDEF"), 32, 3.0),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 24, 4.1),
+    ("short hex", frozenset("0123456789abcdefABCDEF"), 20, 2.8),
+    ("lower", frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.4),
+    ("upper", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.3),
+    ("base62", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.7),
+    ("short base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 20, 4.0),
 )
 #: What suppresses a candidate: placeholders, UUIDs, dates, file names and the like.
 ALLOW = (

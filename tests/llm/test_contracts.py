@@ -327,6 +327,22 @@ def test_op10_base64_before_hex(spark):
     assert all(key[:32] not in r.text and digits[:24] not in r.text.upper() for r in secrets.redacted(docs).collect())
 
 
+@pytest.mark.parametrize(
+    "letters, least",
+    [("0123456789ABCDEF", (98, 99)), ("0123456789abcdef", (98, 99)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (95, 97)), ("abcdefghijklmnopqrstuvwxyz0123456789", (96, 98)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", (96, 98)),
+     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", (92, 96)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (78, 90))],
+)
+def test_op10_random_keys(letters, least):
+    """Per cent of random keys found, by alphabet: of 20 to 23 characters, and of 24 to 40."""
+    import random
+
+    rng = random.Random(11)
+    for size in (20, 21, 22, 23, 24, 32, 40):
+        keys = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(500)]
+        assert sum(bool(secrets.entropy_spans(f"see {k} here")) for k in keys) >= 5 * least[size >= 24]
+    assert not secrets.entropy_spans("org/officeDocument/2006/relationships doc2md/core/audio_engine ffmpeg-win-x86_64-v7 UninstallDisplayName=doc2md 2024-01-31/2024-02-29 test_web_html_to_text_regex_fallback_without_bs4")
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
