@@ -52,8 +52,8 @@ def covered(starts: Column, window: int) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Lines keep their places; each still has to be trimmed."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x09\x0B-\x0D]|\x20[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0")
+    """Lines keep their places; each still has to be trimmed. A space alone stays as it is, which saves a match."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0")
 
 
 def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:

@@ -204,6 +204,26 @@ def test_op5_boilerplate(spark):
     assert all("\n" not in r.t for r in got) and {r.kept for r in got} == {True, False}
 
 
+def test_op5_white_space(spark, tmp_path):
+    """Lines that differ in white space are one line, and its words are those between any white space."""
+    import duckdb
+
+    from foliant.llm import oracles
+
+    gaps = [" ", "\t", "\t\t", "\t ", " \t", " \t\t ", "\x0b\x0c", "  ", "\r", "\t\x0b \r"]
+    lines = [gaps[i % 10].join(["Six", "words", "stand", "on", "page", str(i % 10)]) + gaps[i % 10] for i in range(30)]
+    data = [(i, f"{line}\n" + " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}w{chr(97 + j)}" for j in range(9)), "h") for i, line in enumerate(lines)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    wanted = brute_kept(data, 10, 0.2)
+    got = quality.judged(docs).select("doc_id", "n_lost", "kept", quality.without_lines(quality.F.col("text"), quality.F.col("gone")).alias("t")).collect()
+    assert {r.doc_id: (r.n_lost, r.kept) for r in got} == {d[0]: (k[-1], k[-2]) for d, k in zip(data, wanted, strict=True)}
+    assert all(r.n_lost == 6 and r.kept and "\n" not in r.t for r in got)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(queries.op5_quality_rules(spark, str(tmp_path)).collect(), con.execute(oracles.QUALITY).fetchall())
+
+
 def test_op6(spark, given):
     wanted = []
     for doc, text, _ in documents(spark, given):
