@@ -44,6 +44,16 @@ def saved_percent(original: Column, optimized: Column) -> Column:
     return F.when(original <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - optimized / original) * 100)))
 
 
+def fixed_percent(share: Column) -> Column:
+    """A share from 0 to 100 with one decimal, as its exact binary value rounds; halves go to the even digit."""
+    whole = F.floor(share).cast("long")
+    # the fraction in 2^-59, of which ten times still fits; what is cut off lies far under half a digit
+    tenfold = ((share - whole) * float(2**59)).cast("long") * 10
+    digit, rest, half = F.shiftright(tenfold, 59), tenfold.bitwiseAND(F.lit(2**59 - 1)), F.lit(2**58)
+    digits = whole * 10 + digit + F.when((rest > half) | ((rest == half) & (digit % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
+    return F.concat(F.floor(digits / 10).cast("string"), F.lit("."), (digits % 10).cast("string"), F.lit("%"))
+
+
 def human_size(size: Column) -> Column:
     """With one decimal from kilobytes on; halves go to the even digit."""
     size = F.greatest(size, F.lit(0)).cast("double")

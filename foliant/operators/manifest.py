@@ -43,7 +43,7 @@ def savings_lines(rows: DataFrame, *keep: str) -> DataFrame:
     right = lambda c, n: F.when(F.length(c) >= n, c).otherwise(F.lpad(c, n, " "))
     return rows.select(*keep, "name", F.concat(
         left(F.col("name"), 28), right(tokens.human_size(F.col("original_size")), 12), right(tokens.human_size(F.col("markdown_size")), 12),
-        right(F.concat(F.lit("~"), F.format_number("tokens", 0)), 10), right(F.concat(F.format_string("%.1f", "saved_ratio"), F.lit("%")), 8),
+        right(F.concat(F.lit("~"), F.format_number("tokens", 0)), 10), right(tokens.fixed_percent(F.col("saved_ratio")), 8),
     ).alias("line"))
 
 

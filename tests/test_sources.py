@@ -290,6 +290,25 @@ def test_publishing(spark, folder, tmp_path):
     assert all("2.0 KB" in r.line and r.line.endswith("%") for r in lines)
 
 
+def test_savings_lines_whole(spark):
+    """Whole lines of all documents with their own sizes, and shares on and near halves of a digit."""
+
+    def shown(n):
+        for unit, by in (("B", 1), ("KB", 1024), ("MB", 1024**2)):
+            if n < by * 1024:
+                return f"{n} B" if by == 1 else f"{n / by:.1f} {unit}"
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text IS NOT NULL").selectExpr("'/in/' || doc_id || '.txt' AS source", "true AS success", "text AS markdown", "CAST(octet_length(text) + pmod(doc_id * 37, 4000) AS BIGINT) AS original_size")
+    odd = spark.range(0, 4000).selectExpr("'/in/n' || id || '.txt' AS source", "true AS success", "repeat('x', CAST(id AS INT)) AS markdown", "CAST(4000 AS BIGINT) AS original_size")
+    rows = manifest.savings(docs.unionByName(odd))
+    got = {r.name: r.line for r in manifest.savings_lines(rows).collect()}
+    found = rows.collect()
+    assert len(got) == len(found) >= 4000 + docs.count() and docs.count() > 150
+    for r in found:
+        assert r.saved_ratio == pytest.approx(max(0.0, (1 - r.markdown_size / r.original_size) * 100) if r.original_size else 0.0, abs=1e-12)
+        assert got[r.name] == f"{r.name:<28}{shown(r.original_size):>12}{shown(r.markdown_size):>12}{f'~{r.tokens:,}':>10}{f'{r.saved_ratio:.1f}%':>8}"
+
+
 def test_streams(spark, folder, tmp_path):
     stream = intake.converted(intake.without_copies(intake.file_stream(spark, folder)))
     run = intake.to_tables(stream.select("source", "kind", "success", "markdown"), f"{tmp_path}/t", f"{tmp_path}/c").trigger(availableNow=True).start()
