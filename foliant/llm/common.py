@@ -66,6 +66,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes, as measured, that a join sends to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: Column | int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, best a written table, to be broadcast where its rows measure at most ``most`` bytes; else joined by shuffle."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).cast("long")).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality under which null equals null."""
     return a.eqNullSafe(b)
