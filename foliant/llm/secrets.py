@@ -111,8 +111,13 @@ def entropy_spans(text: str, classes=CLASSES, allow: tuple[str, ...] = ALLOW) ->
 
 def all_spans(text: str, classes=CLASSES, allow: tuple[str, ...] = ALLOW) -> list[tuple[int, int, int]]:
     """Base spans, and those entropy spans that no base span already holds."""
-    base = base_spans(text)
-    more = [(a, 3, b) for a, b in entropy_spans(text, classes, allow) if not any(s <= a and b <= e for s, _, e in base)]
+    base, more, at, reach = base_spans(text), [], 0, -1
+    for a, b in entropy_spans(text, classes, allow):  # from the left, so one pass over the base spans is enough
+        while at < len(base) and base[at][0] <= a:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach < b:
+            more.append((a, 3, b))
     return sorted(base + more)
 
 
