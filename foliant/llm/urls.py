@@ -4,11 +4,13 @@ The list's keys (host suffix followed by path prefix) are stored as one file: 64
 and the keys themselves in the same order. Tasks map the file into memory, probe all candidate keys of a batch by one
 vectorised binary search, and confirm each hit against the stored key, so a collision of digests changes nothing.
 
-The file goes to executors with ``SparkContext.addFile``; it is built on the driver, for lists of at most MAX_ENTRIES.
-Longer lists are joined by key instead (``judged_by_join``), with the same results.
+A list of any length takes the same way: a DataFrame of keys is sorted by digest as a job and streamed into the file, a
+partition at a time; ``SparkContext.addFile`` sends it to the executors, whose disks must hold it (the list's bytes and
+17 more a key). Of rules with one key the first holds; a key that stands twice in the block list counts once.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the default
-verdict; a null id is carried; repeated rows are each judged; an empty table gives no rows; other columns are ignored.
+verdict; a null or empty key of the block list fits nothing; a null id is carried; repeated rows are each judged; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import uuid
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ENTRIES = 2_000_000
-MAGIC = b"FOLIDX01"
+MAGIC = b"FOLIDX02"
+#: Spark's xxhash64 of a string, as an unsigned number, is xxhash of its UTF-8 bytes with this seed.
+SEED = 42
 
 #: The rules (host and path, verdict) that every judgement starts from.
 RULES = (
@@ -54,39 +60,59 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def digest(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), SEED)
+
+
+def path_length(key: bytes) -> int:
+    """Bytes of a key's path; of a key without one, 0."""
+    return len(key) - key.find(b"/") if b"/" in key else 0
 
 
 class DigestArray:
-    """Keys by digest. An entry is (key, kind); of equal keys the first stays."""
+    """Keys by digest, with a kind each."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            magic, n, size = struct.unpack("<8sQQ", f.read(24))
-        if magic != MAGIC:
-            raise ValueError(f"{path} is no digest array")
+            magic, n, size, m = struct.unpack("<8sQQQ", f.read(32))
+            if magic != MAGIC:
+                raise ValueError(f"{path} is no digest array")
+            f.seek(32 + 17 * n + size)
+            self.path_lengths = np.frombuffer(f.read(8 * m), "<u8").tolist()
         part = lambda kind, at, k: np.memmap(path, kind, "r", at, (k,)) if k else np.empty(0, kind)
-        self.digests = part("<u8", 24, n)
-        self.ends = part("<u8", 24 + 8 * n, n)
-        self.kinds = part("u1", 24 + 16 * n, n)
-        self.blob = part("u1", 24 + 17 * n, size)
-        self.path_lengths = sorted({len(k) - k.find("/") for k in (self.key(i) for i in range(n))} if n <= 10_000 else self._lengths())
-
-    def _lengths(self) -> set[int]:
-        return {len(k) - k.find("/") for k in map(self.key, range(len(self.digests)))}
+        self.digests = part("<u8", 32, n)
+        self.ends = part("<u8", 32 + 8 * n, n)
+        self.kinds = part("u1", 32 + 16 * n, n)
+        self.blob = part("u1", 32 + 17 * n, size)
 
     @staticmethod
     def write(path: str, entries: Iterable[tuple[str, int]], hashing=digest) -> None:
+        """entries: (key, kind) in any order; of equal keys the first stays."""
         first: dict[str, int] = {}
         for key, kind in entries:
             first.setdefault(key, kind)
-        rows = sorted((hashing(k), k.encode("utf-8", "surrogatepass"), kind) for k, kind in first.items())
-        with open(path, "wb") as f:
-            f.write(struct.pack("<8sQQ", MAGIC, len(rows), sum(len(r[1]) for r in rows)))
-            f.write(np.array([r[0] for r in rows], "<u8").tobytes())
-            f.write(np.cumsum([len(r[1]) for r in rows], dtype="<u8").tobytes() if rows else b"")
-            f.write(bytes(r[2] for r in rows))
-            f.write(b"".join(r[1] for r in rows))
+        DigestArray.write_sorted(path, sorted((hashing(k), k.encode("utf-8", "surrogatepass"), kind) for k, kind in first.items()))
+
+    @staticmethod
+    def write_sorted(path: str, rows: Iterable[tuple[int, bytes, int]]) -> None:
+        """rows: (digest, key, kind) by ascending digest, each key once. Held are 17 bytes a key; the keys go to the file
+        as they come, and to their place when their number is known."""
+        digests, ends, kinds, lengths, size = array("Q"), array("Q"), bytearray(), set(), 0
+        with tempfile.TemporaryFile() as keys, open(path, "wb") as f:
+            for number, key, kind in rows:
+                size += len(key)
+                keys.write(key)
+                digests.append(number)
+                ends.append(size)
+                kinds.append(kind)
+                lengths.add(path_length(key))
+            f.write(struct.pack("<8sQQQ", MAGIC, len(digests), size, len(lengths)))
+            for part in (digests, ends):
+                f.write(np.frombuffer(part, np.uint64).astype("<u8").tobytes())
+            f.write(kinds)
+            keys.seek(0)
+            while some := keys.read(1 << 20):
+                f.write(some)
+            f.write(np.array(sorted(lengths), "<u8").tobytes())
 
     def key(self, i: int) -> str:
         return bytes(self.blob[int(self.ends[i - 1]) if i else 0 : int(self.ends[i])]).decode("utf-8", "surrogatepass")
@@ -108,28 +134,65 @@ class DigestArray:
 
 
 def candidates(host: str, path: str, path_lengths: list[int]) -> list[str]:
-    """Each host suffix with each path prefix that an entry could have."""
+    """Each host suffix with each path prefix that an entry could have; lengths are of UTF-8 bytes."""
     if not host:
         return []
     parts = host.split(".")
-    paths = [path[:n] for n in path_lengths if n <= len(path)]
+    if path.isascii():
+        paths = [path[:n] for n in path_lengths if n <= len(path)]
+    else:  # a prefix that ends inside a character is no entry's
+        raw = path.encode("utf-8", "surrogatepass")
+        paths = [raw[:n].decode("utf-8", "surrogatepass") for n in path_lengths if n <= len(raw) and (n == len(raw) or raw[n] & 0xC0 != 0x80)]
     return [".".join(parts[i:]) + p for i in range(len(parts)) for p in paths]
 
 
-def judged(pages: DataFrame, rules=RULES, blocked: Iterable[str] = BLOCKED, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, listed: the longest rule that fits decides, else the block list, else ``default``."""
-    rules, blocked = list(rules), list(blocked)
-    if len(rules) + len(blocked) > MAX_ENTRIES:
-        spark = pages.sparkSession
-        return judged_by_join(pages, spark.createDataFrame(rules, "key string, verdict string"), spark.createDataFrame([(b,) for b in blocked], "key string"), default, id_column, url_column)
-    sc = pages.sparkSession.sparkContext
-    fd, local = tempfile.mkstemp(prefix="digests-", suffix=".idx")
-    os.close(fd)
-    # kinds: 0 allows, 1 blocks, 2 is on the block list, 3 both blocks and is on it, 4 allows and is on it
-    listed = set(blocked)
-    DigestArray.write(local, [(k, {"allow": 4, "block": 3}[v] if k in listed else {"allow": 0, "block": 1}[v]) for k, v in rules] + [(k, 2) for k in blocked])
-    sc.addFile(local)
-    name = os.path.basename(local)
+#: What an entry does: bits for a rule that allows, a rule that blocks, and the block list.
+ALLOWS, BLOCKS, LISTED = 1, 2, 4
+
+
+def _sorted_entries(rules: dict[str, str], blocked: DataFrame) -> Iterator[tuple[int, bytes, int]]:
+    """All entries by ascending digest: the block list sorted as a job and streamed, the rules (few) merged into it."""
+    kinds = {k: ALLOWS if v == "allow" else BLOCKS for k, v in rules.items()}
+    key = F.col(blocked.columns[0]).cast("string")
+    keys = blocked.select(key.alias("key")).filter("key <> ''").distinct().withColumn("digest", F.xxhash64("key"))
+    # unsigned order: numbers from 0 up come before the negative ones
+    keys = keys.orderBy(F.col("digest") < 0, "digest", "key")
+    own = sorted((digest(k), k.encode("utf-8", "surrogatepass"), kind) for k, kind in kinds.items())
+    at = 0
+    for row in keys.toLocalIterator():
+        raw = row["key"].encode("utf-8", "surrogatepass")
+        number = row["digest"] % (1 << 64)
+        while at < len(own) and own[at][:2] < (number, raw):
+            yield own[at]
+            at += 1
+        both = at < len(own) and own[at][1] == raw
+        yield number, raw, LISTED | (own[at][2] if both else 0)
+        at += both
+    yield from own[at:]
+
+
+@lru_cache(maxsize=1)
+def _folder() -> tempfile.TemporaryDirectory:
+    """Where the driver keeps the files that it serves; removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="digests-")
+
+
+def judged(pages: DataFrame, rules=RULES, blocked: Iterable[str] | DataFrame = BLOCKED, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict, listed: the longest rule that fits decides, else the block list, else ``default``.
+    blocked: keys, or a DataFrame whose first column has them."""
+    first: dict[str, str] = {}
+    for key, verdict in rules:
+        first.setdefault(key, verdict)
+    spark = pages.sparkSession
+    name = f"{uuid.uuid4().hex}.idx"
+    local = os.path.join(_folder().name, name)
+    if isinstance(blocked, DataFrame):
+        DigestArray.write_sorted(local, _sorted_entries(first, blocked))
+    else:
+        listed = {k for k in blocked if k}
+        kinds = {k: ALLOWS if v == "allow" else BLOCKS for k, v in first.items()}
+        DigestArray.write(local, [(k, kinds.get(k, 0) | (LISTED if k in listed else 0)) for k in listed | kinds.keys()])
+    spark.sparkContext.addFile(local)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestArray(SparkFiles.get(name))
@@ -141,9 +204,9 @@ def judged(pages: DataFrame, rules=RULES, blocked: Iterable[str] = BLOCKED, defa
             for (host, path), keys in zip(split, each, strict=True):
                 hits = [(k, int(index.kinds[j])) for k, j in zip(keys, found[at : at + len(keys)], strict=True) if j >= 0]
                 at += len(keys)
-                rule = max((x for x in hits if x[1] != 2), key=lambda x: (len(x[0]), x[0].find("/")), default=None)
-                on = max((x[0] for x in hits if x[1] >= 2), key=len, default=None)
-                verdict = ("allow" if rule[1] in (0, 4) else "block") if rule else "block" if on else default
+                rule = max((x for x in hits if x[1] & (ALLOWS | BLOCKS)), key=lambda x: (len(x[0]), x[0].find("/")), default=None)
+                on = max((x[0] for x in hits if x[1] & LISTED), key=len, default=None)
+                verdict = ("allow" if rule[1] & ALLOWS else "block") if rule else "block" if on else default
                 rows.append((host, path, rule and rule[0], verdict, on))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([r[i] for r in rows], pa.string()) for i in range(5))], names=["page_id", "host", "path", "rule", "verdict", "listed"])
 
@@ -151,32 +214,6 @@ def judged(pages: DataFrame, rules=RULES, blocked: Iterable[str] = BLOCKED, defa
     return pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, listed string")
 
 
-def host_column(url: Column) -> Column:
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def path_column(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
-
-
-def judged_by_join(pages: DataFrame, rules: DataFrame, blocked: DataFrame, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """judged() for lists of any length: rules (key, verdict) and blocked (key) are joined with candidate keys."""
-    rules = rules.groupBy("key").agg(F.min("verdict").alias("verdict"))
-    entries = rules.select("key", F.col("verdict").alias("kind")).unionByName(blocked.select("key").distinct().withColumn("kind", F.lit("listed")))
-    lengths = [r[0] for r in entries.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().orderBy("n").collect()]  # distinct lengths only
-    # the rows are judged by distinct (host, path), so repeated rows and null ids need no key of their own
-    read = pages.select(F.col(id_column).alias("page_id"), host_column(F.col(url_column)).alias("host"), path_column(F.col(url_column)).alias("path"))
-    places = read.select("host", "path").distinct()
-    parts = F.split("host", "[.]")
-    keys = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.concat(F.array_join(F.slice(parts, i, F.size(parts)), "."), F.substring("path", F.lit(1), n)))))
-    tried = places.filter("host <> ''").select("host", "path", F.explode(keys).alias("key"))
-    rank = F.struct(F.length("key").alias("n"), F.instr("key", "/").alias("at"), "key", "kind")
-    hits = tried.join(entries, "key").groupBy("host", "path").agg(F.max(F.when(F.col("kind") != "listed", rank)).alias("rule"), F.max(F.when(F.col("kind") == "listed", rank)).alias("on"))
-    verdict = F.when(F.col("rule").isNotNull(), F.col("rule.kind")).when(F.col("on").isNotNull(), F.lit("block")).otherwise(F.lit(default))
-    return read.join(hits, ["host", "path"], "left").select("page_id", "host", "path", F.col("rule.key").alias("rule"), verdict.alias("verdict"), F.col("on.key").alias("listed"))
-
-
 def oracle_sql(rules=RULES, blocked: Iterable[str] = BLOCKED) -> str:
     """DuckDB SQL for the columns of judged() that its contract names."""
     values = ", ".join(f"('{k[: k.find('/')]}', '{k[k.find('/') :]}', '{k}', '{v}')" for k, v in rules)
