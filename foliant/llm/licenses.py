@@ -1,16 +1,17 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates. Built-in functions only.
 
-Tokens of templates are ordered by their document frequency in the whole corpus, rarest first. A block can only reach
-the containment threshold t of a template T, |B & T| >= a = ceil(t * |T|), where it holds one of the first |T| - a + 1
-tokens of T (prefix filter), has at least a tokens (length filter), and where the tokens from the common one on, in
-either set, still suffice (positional filter). Pairs that remain are verified by their whole intersection.
+Tokens of templates are ordered by their document frequency in the whole corpus, rarest first (ties by the token). A block
+can only reach the containment threshold t of a template T, |B & T| >= a = ceil(t * |T|), where it holds one of the first
+|T| - a + 1 tokens of T (prefix filter), has at least a tokens (length filter), and where the tokens from the common one
+on, in either set, still suffice (positional filter). Pairs that remain are verified by their whole intersection.
 
-Blocks are a text's lines and its paragraphs (split at blank lines). What is collected and broadcast grows with the
-templates' vocabulary alone, which MAX_VOCABULARY bounds. Documents with equal texts are scanned once; results come back
-by 128 bits of the text, so ids may be null or repeat.
+Blocks are a text's lines and its paragraphs (split at blank lines). Templates of any number are tables of tokens, joined
+with the texts' words; a table is broadcast where it measures little, else shuffled. Documents with equal texts are
+scanned once; results come back by 128 bits of the text, so ids may be null or repeat.
 
 Defined results: a null text is empty: no words, no labels, score 0; ties of containment make no difference, as all
-labels are kept and the score is the greatest; an empty table gives no rows; other columns are ignored.
+labels are kept and the score is the greatest; a template without tokens fits nothing; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +19,12 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ascii_lower, staged, words_column
+from foliant.llm.common import ascii_lower, sent_if_small, staged, words_column
 
 THRESHOLD = 0.8
-MAX_VOCABULARY = 20_000
 #: What separates words (A-Z being in lower case), and the base phrases with their labels.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (
@@ -76,43 +76,47 @@ def phrase_places(lowered: Column, words: Column, phrases=PHRASES) -> Column:
     return F.when(lowered.rlike(pattern), F.filter(places, lambda x: x["label"].isNotNull())).otherwise(none)
 
 
-def token_order(read: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Ranks of the templates' tokens: by the number of documents in the corpus that hold them, then by themselves."""
-    held = F.array_intersect("__words", F.array(*map(F.lit, vocabulary)))
-    counts = {r["token"]: r["n"] for r in read.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
-    return {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
+def template_tables(spark: SparkSession, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """template, label, size, least (tokens that a block must share), token: a row per token of each template."""
+    rows = []
+    for k, (label, text) in enumerate(templates):
+        tokens = tokens_of(text)
+        rows += [(k, label, len(tokens), math.ceil(threshold * len(tokens) - 1e-9), t) for t in tokens]
+    return staged(spark.createDataFrame(rows, "template int, label string, size int, least int, token string"), "templates")
+
+
+def held_tokens(rows: DataFrame, text: Column, vocabulary: DataFrame) -> DataFrame:
+    """rows' columns with each token of the vocabulary (token, and what else it has) that their text holds, once."""
+    each = rows.select(*rows.columns, F.explode(F.array_distinct(words(text))).alias("__token"))
+    return each.join(vocabulary, F.col("__token") == F.col("token")).drop("__token")
 
 
 def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
     """By text (its 128 bits): every (label, block, containment) that reaches the threshold."""
-    spark = docs.sparkSession
-    sets = [(label, tokens_of(text)) for label, text in templates]
-    vocabulary = sorted({t for _, s in sets for t in s})
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError(f"templates have {len(vocabulary)} tokens; at most {MAX_VOCABULARY} are ordered and broadcast")
-    read = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
-    read = read.withColumns({"__t1": F.xxhash64("__text"), "__t2": F.xxhash64(F.lit(7), F.col("__text")), "__low": ascii_lower(F.col("__text"))}).withColumn("__words", words(F.col("__low")))
-    order = token_order(read, vocabulary)
-    prefixes, whole = [], []
-    for k, (label, tokens) in enumerate(sets):
-        ranks, least = sorted(order[t] for t in tokens), math.ceil(threshold * len(tokens) - 1e-9)
-        whole.append((k, label, ranks, least))
-        prefixes += [(r, k, i, len(ranks), least, label, ranks) for i, r in enumerate(ranks[: len(ranks) - least + 1])]
-    table = spark.createDataFrame(prefixes, "rank int, template int, place int, size int, least int, label string, ranks array<int>")
-    rare = sorted({p[0] for p in prefixes})
-    names = {r: t for t, r in order.items()}
-    near = read.filter(F.arrays_overlap("__words", F.array(*(F.lit(names[r]) for r in rare))))
-    near = near.select("__t1", "__t2", "__low").dropDuplicates(["__t1", "__t2"])
-    blocks = F.array_distinct(F.concat(F.split("__low", "\n"), F.split("__low", r"\n[\x20\x09-\x0D]*\n")))
-    near = near.select("__t1", "__t2", F.posexplode(blocks).alias("__block", "__piece"))
-    ranked = F.create_map(*(F.lit(x) for t in vocabulary for x in (t, order[t])))
-    own = F.sort_array(F.transform(F.array_intersect(words(F.col("__piece")), F.array(*map(F.lit, vocabulary))), lambda t: ranked[t]))
-    near = near.select("__t1", "__t2", "__block", own.alias("__own")).filter(F.size("__own") >= min((w[3] for w in whole), default=1))
-    tried = near.select("*", F.posexplode("__own").alias("__j", "__rank")).join(F.broadcast(table), F.col("__rank") == F.col("rank"))
-    # length and positional filters, then each pair once
-    bound = 1 + F.least(F.col("size") - F.col("place"), F.size("__own") - F.col("__j")) - 1
-    tried = tried.filter((F.size("__own") >= F.col("least")) & (bound >= F.col("least")))
-    common = F.size(F.array_intersect("__own", "ranks"))
+    tokens = template_tables(docs.sparkSession, templates, threshold)
+    width = F.octet_length("token") + 24
+    vocabulary = tokens.select("token").distinct()
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    read = docs.select(ascii_lower(text).alias("__low"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(7), text).alias("__t2"))
+    held = staged(held_tokens(read, F.col("__low"), sent_if_small(vocabulary, width)).select("__t1", "__t2", "token"), "held-tokens")
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = staged(vocabulary.join(counts, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n")), "token-order")
+    place = F.row_number().over(Window.partitionBy("template").orderBy("n", "token")) - 1
+    prefix = tokens.join(ordered, "token").withColumn("place", place).filter("place <= size - least")
+    prefix = staged(prefix.select("template", "label", "size", "least", "place", F.col("token").alias("rare")), "prefixes")
+    rare = prefix.select("rare").distinct()
+    near = held.join(sent_if_small(rare, F.octet_length("rare") + 24), F.col("token") == F.col("rare")).select(F.col("__t1").alias("__n1"), F.col("__t2").alias("__n2")).distinct()
+    near = sent_if_small(staged(near, "near-licenses"), 32)
+    some = read.join(near, (F.col("__t1") == F.col("__n1")) & (F.col("__t2") == F.col("__n2")), "left_semi").dropDuplicates(["__t1", "__t2"])
+    pieces = F.array_distinct(F.concat(F.split("__low", "\n"), F.split("__low", r"\n[\x20\x09-\x0D]*\n")))
+    blocks = some.select("__t1", "__t2", F.posexplode(pieces).alias("__block", "__piece"))
+    own = held_tokens(blocks, F.col("__piece"), sent_if_small(ordered, width)).groupBy("__t1", "__t2", "__block").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("__own"))
+    tried = own.select("*", F.posexplode("__own").alias("__j", "__x")).join(sent_if_small(prefix, F.octet_length("rare") + F.octet_length("label") + 48), F.col("__x.token") == F.col("rare"))
+    # length and positional filters
+    tried = tried.filter((F.size("__own") >= F.col("least")) & (F.least(F.col("size") - F.col("place"), F.size("__own") - F.col("__j")) >= F.col("least")))
+    whole = tokens.groupBy(F.col("template").alias("__of")).agg(F.collect_list("token").alias("__all"))
+    tried = tried.join(sent_if_small(whole, 16 + 24 * F.size("__all")), F.col("template") == F.col("__of"))
+    common = F.size(F.array_intersect(F.transform("__own", lambda x: x["token"]), F.col("__all")))
     kept = tried.withColumn("__common", common).filter(F.col("__common") >= F.col("least"))
     return kept.select("__t1", "__t2", "__block", "label", "template", (F.col("__common") / F.col("size")).alias("containment")).distinct()
 
