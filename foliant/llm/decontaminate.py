@@ -5,8 +5,10 @@ hash among its k-grams, so windows that are equal have equal fingerprints, and a
 shares one. Distinct fingerprints of documents and items are joined; documents with a common one are extended: each of
 their windows is compared with the items' windows, as 128 bits of hashes beside the fingerprint.
 
-Documents with equal texts are compared once. Fingerprints of the benchmark are broadcast only where their number is at
-most BROADCAST_ROWS, else joined by shuffle; AQE may split a hot fingerprint, as results are partial sets by text.
+Documents with equal texts are compared once. Fingerprints and windows of the benchmark are rows of a fixed size, which
+are broadcast where they measure little, else joined by shuffle; AQE may split a hot one, as results are partial sets by
+text. Which items hold a window stays in a table of its own: windows of the same items share a set's name (128 bits of
+hashes and a count), hits bring names, and items are looked up once for each text and name.
 
 Defined results: a null text has no words and no hits; an item without words has no window; null and repeated ids of
 documents give a row each; equal items each count; a null item id isn't listed, though its words are hit; an empty
@@ -18,10 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ascii_lower, same, staged, with_run_hashes, with_run_minima, words_column
+from foliant.llm.common import ascii_lower, let, same, sent_if_small, staged, with_run_hashes, with_run_minima, words_column
 
 WINDOW = 13
-BROADCAST_ROWS = 1_000_000
 #: Fixed value: what separates words after A-Z are in lower case.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -60,69 +61,70 @@ def text_keys(text: Column) -> dict[str, Column]:
     return {"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(7), text)}
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> tuple[DataFrame, list[int]]:
-    """Distinct windows of the items with the items that hold them, as a written table; the lengths that occur."""
+def item_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
+    """Distinct windows with the name of the set of items that hold them, and (name, item), as written tables; the
+    lengths that occur. A set's name is made of sums, so no list of items stands anywhere."""
     items = with_hashes(benchmark.select(F.col(id_column).cast("string").alias("__item"), F.col(text_column).alias("__text")), F.col("__text"))
     items = items.filter("__n > 0").withColumn("__len", F.least(F.col("__n"), F.lit(window)))
     lengths = sorted(r[0] for r in items.select("__len").distinct().collect())  # at most ``window`` numbers
-    every = [windows(items.filter(F.col("__len") == n), int(n), "__item") for n in lengths]
-    if not every:
-        every = [windows(items, window, "__item")]
+    every = [windows(items.filter(F.col("__len") == n), int(n), "__item") for n in lengths] or [windows(items, window, "__item")]
     whole = every[0]
     for more in every[1:]:
         whole = whole.unionByName(more)
-    return staged(whole.groupBy("__l", "__marks", "__wa", "__wb").agg(F.collect_set("__item").alias("__items")), "item-windows"), [int(n) for n in lengths]
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    key = ["__l", "__marks", "__wa", "__wb"]
+    whole = staged(whole.groupBy("__item", *key).agg(F.lit(1).alias("__one")), "item-windows")
+    added = lambda seed: F.sum(F.shiftright(F.xxhash64(F.lit(seed), F.col("__item")), 20))  # noqa: E731  (44 bits each: sums don't overflow)
+    name = F.concat_ws(":", F.count("__item"), added(1), added(2), added(3))
+    known = staged(whole.groupBy(*key).agg(name.alias("__set")), "windows")
+    on = [whole[c] == known[c] for c in key]
+    sets = whole.join(known, on).select(F.col("__set").alias("__of"), "__item").filter("__item IS NOT NULL").distinct()
+    return known, staged(sets, "item-sets"), [int(n) for n in lengths]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """By text (its 128 bits): runs of hit words (start, end), words hit, and items with occurring windows."""
-    known, lengths = item_windows(benchmark, window)
+    known, sets, lengths = item_windows(benchmark, window)
     marks = staged(known.select(F.col("__l").alias("__ml"), F.col("__marks").alias("__mm")).distinct(), "item-marks")
-    n_marks, n_known = marks.count(), known.count()
     read = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")).withColumns(text_keys(F.col("__text")))
-    hashed = with_hashes(read, F.col("__text")).drop("__text")
-
-    def both(make) -> DataFrame | None:
-        out = None
-        for n in lengths:
-            out = make(n) if out is None else out.unionByName(make(n))
-        return out if out is not None else make(window)
-
-    def marked(n: int) -> DataFrame:
-        own = with_fingerprints(hashed, n).select("__id", "__t1", "__t2", F.explode(F.array_distinct("__marks")).alias("__m"))
-        there = small(marks.filter(F.col("__ml") == n), n_marks)
-        return own.join(there, F.col("__m") == F.col("__mm"), "left_semi").select("__id", "__t1", "__t2")
-
-    near = both(marked).groupBy("__t1", "__t2").agg(F.min("__id").alias("__first"))
+    # one pass over the documents makes the fingerprints of all lengths
+    own, found = with_hashes(read, F.col("__text")).drop("__text"), []
+    for n in lengths or [window]:
+        own = with_fingerprints(own, n).withColumn(f"__f{n}", F.transform(F.array_distinct("__marks"), lambda x: F.struct(F.lit(n).alias("l"), x.alias("m")))).drop("__marks")
+        found.append(f"__f{n}")
+    own = own.select("__id", "__t1", "__t2", F.explode(F.concat(*found) if len(found) > 1 else F.col(found[0])).alias("__m"))
+    own = own.join(sent_if_small(marks, 24), (F.col("__m.m") == F.col("__mm")) & (F.col("__m.l") == F.col("__ml")), "left_semi")
+    near = own.groupBy("__t1", "__t2").agg(F.min("__id").alias("__first"))
     near = near.select(F.col("__t1").alias("__n1"), F.col("__t2").alias("__n2"), "__first")
     chosen = read.join(near, (F.col("__t1") == F.col("__n1")) & (F.col("__t2") == F.col("__n2")) & same(F.col("__id"), F.col("__first")), "left_semi")
     chosen = staged(chosen.select("__t1", "__t2", "__text"), "near-benchmark")
-    table = small(known.withColumnsRenamed({"__l": "__kl", "__marks": "__km", "__wa": "__ka", "__wb": "__kb"}), n_known)
-
-    def extended(n: int) -> DataFrame:
-        own = windows(with_hashes(chosen, F.col("__text")).drop("__text"), n, "__t1", "__t2")
-        on = (F.col("__marks") == F.col("__km")) & (F.col("__wa") == F.col("__ka")) & (F.col("__wb") == F.col("__kb")) & (F.col("__kl") == n)
-        return own.join(table, on).select("__t1", "__t2", "__p", "__l", "__items")
-
-    found = both(extended).groupBy("__t1", "__t2").agg(F.sort_array(F.collect_set(F.struct("__p", "__l"))).alias("__at"), F.collect_set("__items").alias("__sets"))
-    runs = F.aggregate("__at", F.array().cast("array<struct<start:int,end:int>>"), _joined)
-    found = found.withColumn("runs", runs)
+    table = sent_if_small(known.withColumnsRenamed({"__l": "__kl", "__marks": "__km", "__wa": "__ka", "__wb": "__kb"}), 40 + F.octet_length("__set"))
+    at = None
+    for n in lengths or [window]:
+        more = windows(with_hashes(chosen, F.col("__text")).drop("__text"), n, "__t1", "__t2")
+        at = more if at is None else at.unionByName(more)
+    on = (F.col("__marks") == F.col("__km")) & (F.col("__wa") == F.col("__ka")) & (F.col("__wb") == F.col("__kb")) & (F.col("__l") == F.col("__kl"))
+    at = at.join(table, on).select("__t1", "__t2", "__p", "__l", "__set")
+    by_text = at.groupBy("__t1", "__t2").agg(F.sort_array(F.collect_set(F.struct("__p", "__l"))).alias("__at"), F.collect_set("__set").alias("__sets"))
+    by_text = staged(by_text.select("__t1", "__t2", runs_of(F.col("__at"), window).alias("runs"), "__sets"), "runs")
+    names = by_text.select("__t1", "__t2", F.explode("__sets").alias("__set"))
+    listed = names.join(sent_if_small(sets, 40 + F.octet_length("__item") + F.octet_length("__of")), F.col("__set") == F.col("__of")).groupBy(F.col("__t1").alias("__i1"), F.col("__t2").alias("__i2")).agg(F.sort_array(F.collect_set("__item")).alias("items"))
+    out = by_text.join(listed, (F.col("__t1") == F.col("__i1")) & (F.col("__t2") == F.col("__i2")), "left")
     size = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     # a table, so the join with documents has plain exchanges on both sides and AQE may split a group of copies
-    return staged(found.select(F.col("__t1").alias("__h1"), F.col("__t2").alias("__h2"), "runs", size.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("__sets"))).alias("items")), "hits")
+    return staged(out.select(F.col("__t1").alias("__h1"), F.col("__t2").alias("__h2"), "runs", size.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), "hits")
+
 
+def runs_of(at: Column, reach: int) -> Column:
+    """Stretches (start, end) that windows (__p, __l), sorted, cover; those that touch are one. Windows are at most
+    ``reach`` long, so of those before one only the last ``reach`` places can touch it."""
+    longest = lambda a: F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)["__p"] != x["__p"], F.lit(True)))
 
-def _joined(runs: Column, at: Column) -> Column:
-    """Runs with one more window, which starts no earlier than the last run."""
-    last = F.element_at(runs, -1)
-    start, end = at["__p"], at["__p"] + at["__l"]
-    meets = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] >= start)
-    grown = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"))))
-    return F.when(meets, grown).otherwise(F.concat(runs, F.array(F.struct(start.alias("start"), end.alias("end")))))
+    def runs(a: Column) -> Column:
+        reached = lambda i: F.array_max(F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda k: F.get(a, i - k)["__p"] + F.get(a, i - k)["__l"]))
+        firsts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.coalesce(reached(i) < F.get(a, i)["__p"], F.lit(True)))
+        return let(firsts, lambda f: F.transform(f, lambda i, j: F.struct(F.get(a, i)["__p"].alias("start"), reached(F.coalesce(F.get(f, j + 1), F.size(a))).alias("end"))))
+
+    return let(at, lambda a: let(longest(a), runs))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -148,8 +150,12 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     out = _marked(base, found).filter(~F.col("contaminated"))
     pieces = F.regexp_extract_all("__text", F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
     tail = F.regexp_extract("__text", r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    left = F.filter(pieces, lambda x, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"])))
-    text = F.when(F.col("n_hit") == 0, F.col("__text")).otherwise(F.concat(F.array_join(left, ""), tail))
+    # what stands between runs, piece by piece
+    def left(p: Column) -> Column:
+        gaps = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda j: F.struct(F.coalesce(F.get("runs", j - 1)["end"], F.lit(0)).alias("a"), F.coalesce(F.get("runs", j)["start"], F.size(p)).alias("z")))
+        return F.flatten(F.transform(F.filter(gaps, lambda g: g["a"] < g["z"]), lambda g: F.transform(F.sequence(g["a"], g["z"] - 1), lambda i: F.get(p, i))))
+
+    text = F.when(F.col("n_hit") == 0, F.col("__text")).otherwise(F.concat(F.array_join(let(pieces, left), ""), tail))
     return out.select(*(text.alias(c) if c == text_column else F.col("__row").getField(c).alias(c) for c in names))
 
 
