@@ -129,40 +129,45 @@ class ArchiveWriter:
         self.out.close()
 
 
+#: Bytes handed to the decoder at once: what a frame leaves of them is all that is copied.
+DECODE_BYTES = 16 << 10
+
+
 def frames(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive, one frame at a time; skippable frames other than the leading dictionary are passed over."""
-    held, made, first, ended = b"", None, True, False
+    held, at, made, first, ended = b"", 0, None, True, False
 
     def need(n: int) -> bool:
-        nonlocal held, ended
-        while len(held) < n and not ended:
-            more = stream.read(max(chunk, n - len(held)))
+        nonlocal held, at, ended
+        while len(held) - at < n and not ended:
+            more = stream.read(max(chunk, n - len(held) + at))
             ended = not more
-            held += more
-        return len(held) >= n
+            held, at = held[at:] + more, 0
+        return len(held) - at >= n
 
     while need(4):
-        magic = struct.unpack_from("<I", held)[0]
+        magic = struct.unpack_from("<I", held, at)[0]
         if magic >> 4 == DICTIONARY_MAGIC >> 4:
-            if not need(8) or not need(8 + (size := struct.unpack_from("<I", held, 4)[0])):
+            if not need(8) or not need(8 + (size := struct.unpack_from("<I", held, at + 4)[0])):
                 raise ValueError("a skippable frame is cut off")
             if first and magic == DICTIONARY_MAGIC:
-                raw = held[8 : 8 + size]
+                raw = held[at + 8 : at + 8 + size]
                 raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw) if raw[:4] == FRAME_MAGIC else raw
                 made = zstandard.ZstdCompressionDict(raw)
-            held, first = held[8 + size :], False
+            at, first = at + 8 + size, False
             continue
-        if held[:4] != FRAME_MAGIC:
-            raise ValueError(f"no frame, but {held[:4]!r}")
+        if held[at : at + 4] != FRAME_MAGIC:
+            raise ValueError(f"no frame, but {held[at : at + 4]!r}")
         first, out = False, []
         decoder = zstandard.ZstdDecompressor(dict_data=made).decompressobj()
         while not decoder.eof:
-            if not held and not need(1):
+            if not need(1):
                 raise ValueError("a frame is cut off")
-            out.append(decoder.decompress(held))
-            held = decoder.unused_data if decoder.eof else b""
+            some = memoryview(held)[at : at + DECODE_BYTES]
+            out.append(decoder.decompress(some))
+            at += len(some) - (len(decoder.unused_data) if decoder.eof else 0)
         yield b"".join(out)
-    if held:
+    if len(held) > at:
         raise ValueError("bytes after the last frame")
 
 
