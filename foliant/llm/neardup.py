@@ -8,8 +8,10 @@ two documents agree with the probability Jaccard similarity of their weights, wh
 Registers are banded; documents that share a band are candidates. Candidates' components are verified exactly, group by
 group: two documents are linked where their probability Jaccard reaches the threshold, and a class is a component of
 links. Pairs already in one class aren't compared, so no link that could join two classes is lost and a group of N copies
-costs about N comparisons. Equal texts are collapsed before. Components too large for one task are split into chunks;
-then their classes' first members meet, and last every document outside its component's largest class meets all chunks.
+costs about N comparisons. Equal texts are collapsed before. Components too large for one task are split into chunks, in
+each of which their most central documents stand too. What is left are bands whose members are in several classes: band by
+band, and in blocks of a bounded size, those outside the band's largest class meet all its members. So a component that
+grows with the corpus costs what its bands cost, not its square.
 
 Defined results: a null text or one without words is a class of its own, whose id is its document's; a class's id is its
 least document id; a null id counts as larger than any, and a class of null ids alone has a number from 2**62 on; rows
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bounded_batches, plain_memory, hashed, mix, rolled, same, staged, text_slices, word_table
+from foliant.llm.common import bounded_batches, hashed, mix, plain_memory, rolled, same, sent_if_small, staged, text_slices, word_table
 from foliant.llm.graphs import components
 
 SHINGLE = 5
@@ -290,7 +292,7 @@ def labels(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wid
     sized = staged(sized, "candidates")
     parts = sized.groupBy(F.col("part").alias("p")).agg(F.greatest(F.ceil(F.count("*") / chunk_rows), F.ceil(F.sum("size") / chunk_bytes)).cast("long").alias("chunks"))
     parts = staged(parts, "parts")
-    sized = sized.join(parts, F.col("part") == F.col("p")).drop("p", "size")
+    sized = sized.join(parts, F.col("part") == F.col("p")).drop("p")
     rows = staged(sized.join(texts.select(F.col("node").alias("n"), "text"), F.col("node") == F.col("n")).drop("n"), "candidate-texts")
     everyone = rows.withColumns({"grp": F.pmod(F.xxhash64("node"), F.col("chunks")), "label": F.col("node"), "probe": F.lit(True)})
     if parts.filter("chunks > 1").isEmpty():
@@ -312,20 +314,25 @@ def labels(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wid
     across = links.join(lead, F.col("a") == F.col("lead"), "left_semi").filter("a <> b").select("a", "b")
     found = labelled(links.select("part", F.col("a").alias("node"), F.col("b").alias("label")), components(across))
     found = staged(found.groupBy("part", "node").agg(F.min("label").alias("label")), "classed")
-    # who is outside the largest class of its component is compared with all chunks of the component
-    sizes = found.join(parts.filter("chunks > 1"), F.col("part") == F.col("p")).groupBy("part", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy(F.col("part").alias("q")).agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).filter("all > top.n")
-    largest = staged(largest.select("q", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / chunk_rows).cast("long").alias("blocks")), "largest")
-    if largest.isEmpty():
-        return found.select("node", "label")
+    # bands of several classes: who is outside a band's largest class meets all its members, in cells of chunks and blocks
     own = found.select(F.col("node").alias("o"), "label")
-    now = large.join(F.broadcast(largest) if largest.count() < 10_000 else largest, F.col("part") == F.col("q")).join(own, F.col("node") == F.col("o")).drop("q", "o")
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cell = (F.col("grp") * F.lit(1 << 31) + F.col("block")).alias("grp")
-    outside = now.filter("label <> top").withColumns({"block": F.pmod(F.xxhash64(F.lit(2), F.col("node")), F.col("blocks")), "probe": F.lit(True), "grp": every})
-    others = now.withColumns({"grp": F.pmod(F.xxhash64("node"), F.col("chunks")), "probe": F.lit(False), "block": block})
-    names = ["part", cell, "node", "label", "probe", "central", "bands", "text"]
-    links = _link(outside.select(*names).unionByName(others.select(*names)), threshold, width, "outside-links")
+    held = large.select("node", "size", F.explode(F.array_distinct("bands")).alias("band")).join(own, F.col("node") == F.col("o")).select("band", "node", "size", "label")
+    held = staged(held, "banded")
+    by_label = held.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    tops = by_label.groupBy(F.col("band").alias("of")).agg(F.max(F.struct("n", "label", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).filter("labels > 1")
+    cells = lambda n, size: F.greatest(F.ceil(n / chunk_rows), F.ceil(size / chunk_bytes), F.lit(1)).cast("long")
+    tops = tops.select("of", F.col("top.label").alias("top"), cells(F.col("n"), F.col("bytes")).alias("chunks"), cells(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("blocks"))
+    tops = staged(tops, "mixed-bands")
+    if tops.isEmpty():
+        return found.select("node", "label")
+    mixed = staged(held.join(sent_if_small(tops, 48), F.col("band") == F.col("of")).select("band", "node", "label", "top", "chunks", "blocks"), "mixed")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block, chunk = F.pmod(F.xxhash64(F.lit(2), F.col("node")), F.col("blocks")), F.pmod(F.xxhash64("node"), F.col("chunks"))
+    outside = mixed.filter("label <> top").withColumns({"block": block, "probe": F.lit(True), "chunk": each("chunks")})
+    others = mixed.withColumns({"chunk": chunk, "probe": F.lit(False), "block": each("blocks")})
+    dealt = outside.unionByName(others).select(F.col("band").alias("part"), (F.col("chunk") * F.lit(1 << 31) + F.col("block")).alias("grp"), F.col("node").alias("m"), "label", "probe", F.array("band").alias("bands"))
+    dealt = dealt.join(large.select("node", "central", "text"), F.col("m") == F.col("node"))
+    links = _link(dealt, threshold, width, "band-links")
     joined = links.join(own, F.col("a") == F.col("o")).select(F.col("label").alias("la"), "b").join(own, F.col("b") == F.col("o"))
     joined = staged(joined.select(F.col("la").alias("a"), F.col("label").alias("b")).filter("a <> b").distinct(), "linked-labels")
     if joined.isEmpty():
@@ -354,7 +361,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs, every column kept: of each class the document with the least id, once; documents without words stay."""
     names = docs.columns
-    judged = classes(docs, threshold, width, id_column, text_column)
+    judged = staged(classes(docs, threshold, width, id_column, text_column), "classes")  # a table, so AQE may split a group of copies before
     stay = judged.filter("node IS NULL OR node = class_id").select(F.col("doc_id").alias("__i"), F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("node").alias("__node")).distinct()
     stay = stay.filter(F.col("__node").isNull() | same(F.col("__i"), F.col("__node")) | (F.col("__node") >= UNKNOWN))
     text = F.coalesce(F.col(text_column), F.lit(""))
