@@ -1,9 +1,10 @@
 """Substring dedup: windows of words that also start in a document with a smaller id, by super-k-mer partitioning.
 
 Each bucket sorts its windows and takes the least id among equal ones. Windows are sorted by a hash of word numbers,
-which are exact within the bucket, and neighbours of equal hash are compared word by word, so counts are exact.
+which are exact within the bucket, and neighbours of equal hash are compared word by word, so what a bucket finds is exact;
+that a super-k-mer was sent before is told by 128 bits of its bytes.
 
-Defined results: a null or empty text has no words and keeps none; a null id counts as larger than any other; rows of
+Defined results: a null or empty text has no words and keeps none; a null id counts as 2**63 - 1; rows of
 equal id never remove words of each other, and repeated rows get equal results; texts are judged whole whatever their
 length; an empty table gives no rows; other columns are ignored.
 """
@@ -11,6 +12,7 @@ length; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ from foliant.llm.common import hashed, mix, plain_memory, rolled, spaced, text_s
 
 WINDOW = 50
 GRAM = 8
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def word_units(texts: pa.Array) -> superkmers.Units:
@@ -44,6 +47,23 @@ def word_units(texts: pa.Array) -> superkmers.Units:
     return superkmers.Units(kept[bounds - bounds[0]], hashes, data, starts, ends)
 
 
+def word_pieces(data: memoryview, window: int, most: int) -> Iterator[tuple[superkmers.Units, int]]:
+    """A long text's words, some ``most`` bytes at a time, each piece led by the last words of the one before so that
+    every window stands in one piece; and which word of the text a piece begins with."""
+    at, words, lead = 0, 0, b""
+    while at < len(data):
+        end = _SPACE.search(data, min(at + most, len(data)))
+        to = end.end() if end else len(data)
+        units = word_units(pa.array([lead + b" " + bytes(data[at:to])], pa.large_binary()).cast(pa.large_string()))
+        n = int(units.bounds[-1])
+        kept = min(window - 1, n)
+        carried = lead.count(b" ") + 1 if lead else 0
+        yield units, words - carried
+        words += n - carried
+        lead = units.data[units.starts[n - kept] :].tobytes() if kept else b""
+        at = to
+
+
 def settle(known: dict, names: list[int], doc: np.ndarray, key: np.ndarray, start: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list]:
     """What equals a super-k-mer sent before by a smaller id is covered, and its text needn't travel."""
     send = np.ones(len(names), bool)
@@ -56,15 +76,17 @@ def settle(known: dict, names: list[int], doc: np.ndarray, key: np.ndarray, star
     return send, []
 
 
-def exact_classes(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by which equal windows are neighbours, and where each class of them begins in it."""
+def exact_classes(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, width: int, eights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by which equal windows are neighbours, and where each class of them begins in it. eights: the eight ids from
+    each place on as one number, where ids are bytes and windows have eight at least."""
     order = np.argsort(hashes, kind="stable")
     new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.empty(0, bool)
     a, b = at[order[:-1]], at[order[1:]]
     again = np.flatnonzero(~new[1:])
     equal = np.ones(len(again), bool)
-    for k in range(width):
-        equal &= ids[a[again] + k] == ids[b[again] + k]
+    left, right, read = a[again], b[again], ids if eights is None else eights
+    for k in range(width) if eights is None else (*range(0, width - 8, 8), width - 8):
+        equal &= read[left + k] == read[right + k]
     if not equal.all():  # hashes collide: sort those windows by their words
         begins = np.flatnonzero(new)
         group = np.cumsum(new) - 1
@@ -126,23 +148,37 @@ def judge(window: int):
 
 def repeated_stretches(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, key, start, stop): stretches of words to remove; start and stop count words, stop is exclusive."""
-    blobs = superkmers.bucketed(docs, word_units, settle, window, min(GRAM, window), id_column, text_column)
+    blobs = superkmers.bucketed(docs, word_units, word_pieces, settle, window, min(GRAM, window), id_column, text_column)
     return superkmers.covered(blobs, judge(window))
 
 
-def cut(texts: pa.Array, stretches: list) -> Iterator[tuple[int, int, bytes]]:
-    """Words, words removed, and the kept words joined by one space."""
+def cut(texts: pa.Array, stretches: list, most: int = superkmers.SLICE_BYTES) -> Iterator[tuple[int, int, bytes]]:
+    """Words, words removed, and the kept words joined by one space. A long text is gone through in pieces."""
+    if len(texts) == 1 and texts[0].as_buffer().size > 2 * most:
+        yield cut_text(word_pieces(memoryview(texts[0].as_buffer()), 1, most), superkmers.merged(stretches[0]))
+        return
     units = word_units(texts)
-    view = memoryview(units.data)
     for a, z, own in zip(units.bounds[:-1].tolist(), units.bounds[1:].tolist(), stretches, strict=True):
-        parts, at, gone = [], a, 0
-        for s, e in superkmers.merged(own):
-            if a + s > at:
-                parts.append(view[units.starts[at] : units.ends[a + s - 1]])
-            at, gone = a + e, gone + e - s
-        if z > at:
-            parts.append(view[units.starts[at] : units.ends[z - 1]])
-        yield z - a, gone, b" ".join(parts)
+        yield cut_text([(superkmers.Units(np.array([0, z - a]), units.hashes, units.data, units.starts[a:z], units.ends[a:z]), 0)], superkmers.merged(own))
+
+
+def cut_text(pieces, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+    """cut() of one text: pieces are units and the word that each begins with, spans are sorted and apart."""
+    words, gone, parts, next_span = 0, 0, [], 0
+    for units, base in pieces:
+        n, at, view = int(units.bounds[-1]), 0, memoryview(units.data)
+        while next_span < len(spans) and spans[next_span][0] < base + n:
+            a, z = max(spans[next_span][0] - base, 0), min(spans[next_span][1] - base, n)
+            if a > at:
+                parts.append(bytes(view[units.starts[at] : units.ends[a - 1]]))
+            at, gone = z, gone + z - a
+            if spans[next_span][1] > base + n:
+                break
+            next_span += 1
+        if n > at:
+            parts.append(bytes(view[units.starts[at] : units.ends[n - 1]]))
+        words += n
+    return words, gone, b" ".join(parts)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -12,7 +12,9 @@ the next one), and sorts the suffixes of the parse by linear grouping:
 
 Phrases are prefix-free, so the parse's order is the byte order of suffixes that start at triggers, and those that share
 any number of bytes stand together. A window of 200 bytes starts x bytes before its first trigger; it occurs again where
-two suffixes share 200 - x bytes to the right and x bytes to the left. Windows without a trigger are sorted themselves.
+two suffixes share 200 - x bytes to the right and x bytes to the left. Windows without a trigger are sorted by a hash,
+neighbours being compared byte by byte. A bucket's strings are judged some JUDGED_BYTES at a time, those of one
+minimiser together.
 
 Defined results: a null or empty text has no bytes; matches never cross documents; a null id is carried, rows that repeat
 (id and text) are each a document and so repeat each other; texts of any length are judged whole; an empty table gives no
@@ -27,16 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 from foliant.llm import superkmers
 from foliant.llm.common import plain_memory, plain_strings, rolled, text_slices
-from foliant.llm.substrings import spread
+from foliant.llm.substrings import exact_classes, spread
 
 WINDOW = 200
+JUDGED_BYTES = 2 << 20
 GRAM = 24
 TRIGGER = 8
-STEP = 32
+STEP = 48
 
 
 def sorted_suffixes(symbols: list[int]) -> list[int]:
@@ -153,12 +157,13 @@ def repeated_windows(data: np.ndarray, bounds: np.ndarray, weights: np.ndarray,
     anchored = room & (first < stop) & (left + TRIGGER <= window)
 
     bare = np.flatnonzero(room & ~anchored)
-    if len(bare):  # exact, as strings
-        rows = np.empty((len(bare), window), np.uint8)
-        for i in range(0, len(bare), 4096):
-            rows[i : i + 4096] = spare[bare[i : i + 4096, None] + np.arange(window)]
-        names = dense(rows.view(f"V{window}").ravel())
-        repeated[bare] = np.bincount(names, weights[owner[bare]])[names] > 1
+    if len(bare):
+        view = memoryview(spare)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(view[i : i + window]) for i in bare.tolist()), np.uint64, len(bare))
+        eights = np.ndarray((len(spare) - 7,), "<u8", spare, strides=(1,)) if window >= 8 else None
+        order, begins = exact_classes(hashes, spare, bare, window, eights)
+        total = np.add.reduceat(weights[owner[bare[order]]], begins)
+        repeated[bare[order]] = np.repeat(total, np.diff(np.append(begins, len(order)))) > 1
     if not len(at):
         return repeated
 
@@ -210,6 +215,13 @@ def byte_units(texts: pa.Array) -> superkmers.Units:
     return superkmers.Units(bounds, flat.astype(np.uint64), flat)
 
 
+def byte_pieces(data: memoryview, window: int, most: int) -> Iterator[tuple[superkmers.Units, int]]:
+    """A long text's bytes, ``most`` windows at a time, and which byte a piece begins with."""
+    for at in range(0, max(1, len(data) - window + 1), most):
+        flat = np.frombuffer(data[at : at + most + window - 1], np.uint8)
+        yield superkmers.Units(np.array([0, len(flat)]), flat.astype(np.uint64), flat), at
+
+
 def settle(known: dict, names: list[int], doc: np.ndarray, key: np.ndarray, start: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list]:
     """What equals a super-k-mer sent before is covered, and so is that one."""
     send, more = np.ones(len(names), bool), []
@@ -225,6 +237,16 @@ def settle(known: dict, names: list[int], doc: np.ndarray, key: np.ndarray, star
     return send, more
 
 
+def batches_of(names: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of strings, sorted by name, that hold some JUDGED_BYTES; those of one name are in one range."""
+    begins = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.empty(0, np.int64)
+    at = 0
+    for b in [*begins[1:].tolist(), len(names)]:
+        if b > at and (b == len(names) or bounds[b] - bounds[at] >= JUDGED_BYTES):
+            yield at, b
+            at = b
+
+
 def judge(window: int):
     def judged(table: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         doc, key, start, count, mark = (table.column(c).to_numpy() for c in ("doc", "key", "start", "windows", "mark"))
@@ -238,20 +260,21 @@ def judge(window: int):
         weights = np.bincount(code[rows], minlength=n)
         marks = np.zeros(n, np.int64)
         marks[code[rows]] = mark[rows]
-        whole = ~sent
-        whole[rows] = weights[code[rows]] > 1
-        # strings that share a minimiser with another one, or hold theirs twice (mark 0), may hold a window twice
-        names = dense(marks)
-        tied = (np.bincount(names)[names] > 1) | (marks == 0) if n else np.empty(0, bool)
+        whole = ~sent  # settled: equal to a string that was sent
+        # strings that occur again, share a minimiser with another one, or hold theirs twice, may hold a window twice
+        names = dense(marks >> 1)
+        tied = (np.bincount(names)[names] > 1) | (marks & 1 == 0) | (weights > 1) if n else np.empty(0, bool)
         some = np.flatnonzero(tied)
+        some = some[np.argsort(names[some], kind="stable")]
         strings = pa.concat_arrays([coded.dictionary.take(pa.array(some))])
         bounds = np.concatenate(([0], np.cumsum(pc.binary_length(strings).to_numpy()))).astype(np.int64)
         data = np.frombuffer(strings.buffers()[2], np.uint8, int(bounds[-1])) if bounds[-1] else np.empty(0, np.uint8)
-        flags = repeated_windows(data, bounds, weights[some], window)
+        flags = np.zeros(len(data), bool)
+        for i, j in batches_of(names[some], bounds):
+            flags[bounds[i] : bounds[j]] = repeated_windows(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], weights[some[i:j]], window)
         number = np.full(n, -1, np.int64)
         number[some] = np.arange(len(some))
-        here = rows[~whole[rows]]
-        here = here[number[code[here]] >= 0]
+        here = rows[number[code[rows]] >= 0]
         codes = np.full(len(doc), -1, np.int64)
         codes[here] = number[code[here]]
         row, a, b = spread(superkmers.window_runs(flags, bounds), codes, here, len(some))
@@ -266,7 +289,7 @@ def judge(window: int):
 
 def repeated_stretches(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, key, start, stop): stretches of bytes to remove, stop exclusive."""
-    blobs = superkmers.bucketed(docs, byte_units, settle, window, min(GRAM, window), id_column, text_column)
+    blobs = superkmers.bucketed(docs, byte_units, byte_pieces, settle, window, min(GRAM, window), id_column, text_column)
     return superkmers.covered(blobs, judge(window))
 
 

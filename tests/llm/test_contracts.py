@@ -147,8 +147,24 @@ def test_op3(spark, given):
     wanted = [(p, *brute_url(u)) for p, u, _ in rows(spark, given, "pages")]
     same(queries.op3_url_filter(spark, given).collect(), wanted)
     pages = spark.read.parquet(f"{given}/pages.parquet")
-    joined = urls.judged_by_join(pages, spark.createDataFrame(list(urls.RULES), "key string, verdict string"), spark.createDataFrame([(b,) for b in urls.BLOCKED], "key string"))
-    same(joined.drop("listed").collect(), wanted)
+    blocked = spark.createDataFrame([(b,) for b in (*urls.BLOCKED, *urls.BLOCKED, None, "")], "key string")
+    same(urls.judged(pages, blocked=blocked).drop("listed").collect(), wanted)
+
+
+def test_op3_long_list(spark, given):
+    """A list of 120,000 keys that is sorted as a job gives what the same list gives as a sequence; of rules with one key
+    the first holds in both."""
+    pages = spark.read.parquet(f"{given}/pages.parquet").select("page_id", "url")
+    more = spark.range(500).selectExpr("id + 50000 AS page_id", "concat('http://WWW.host', id * 300, '.org/a', id, '/é', id, '/more?x') AS url")
+    keys = spark.range(120_000).selectExpr("concat('host', id, '.org/', CASE WHEN id % 600 = 0 THEN concat('a', id div 300, '/é') WHEN id % 2 = 0 THEN 'b' ELSE '' END) AS key")
+    rules = [("a.com/", "block"), ("a.com/", "allow"), ("host0.org/a0/é", "allow"), ("host600.org/a2/é", "block"), *urls.RULES]
+    pages = pages.unionByName(more)
+    listed = [r.key for r in keys.collect()]
+    got = urls.judged(pages, rules, keys).collect()
+    same(got, urls.judged(pages, rules, listed).collect())
+    verdicts = {r.page_id: (r.rule, r.verdict, r.listed) for r in got}
+    assert verdicts[10_003] == ("a.com/", "block", None) and verdicts[50_000] == ("host0.org/a0/é", "allow", "host0.org/a0/é")
+    assert verdicts[50_002] == ("host600.org/a2/é", "block", "host600.org/a2/é") and verdicts[50_004] == (None, "block", "host1200.org/a4/é") and verdicts[50_001] == (None, "allow", None)
 
 
 def test_op3_collisions(tmp_path):
@@ -292,12 +308,29 @@ def test_op10(spark, given):
         found += [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, text) if len(m[0]) >= 20]
         found += [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, text) if len(m[0]) >= 24]
         base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
-        wanted.append((doc, *(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(base.encode()).hexdigest()))
-    got = queries.op10_secret_scan(spark, given).collect()
-    same([r[:-1] for r in got], wanted)
-    for r in got:
-        own = [s for s in r.spans.split(",") if s and not s.startswith("entropy")]
-        assert hashlib.sha256(",".join(own).encode()).hexdigest() == r.base_sha256
+        wanted.append((doc, *(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(base.encode()).hexdigest(), brute_spans(text, found)))
+    same(queries.op10_secret_scan(spark, given).collect(), wanted)
+
+
+def brute_spans(text, found):
+    """All spans: those of the fixed patterns, and stretches of windows that none of them holds."""
+    more = [(a, 3, b) for a, b in brute_entropy(text) if not any(s <= a and b <= e for s, _, e in found)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found + more))
+
+
+def test_op10_classes_in_one_run():
+    """Runs of stretches from several alphabets, in any order: every span as by brute force."""
+    import random
+
+    rng = random.Random(5)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ab1", "a", "0123456789"]
+    for _ in range(400):
+        text = "".join("".join(rng.choices(rng.choice(alphabets), k=rng.choice((3, 12, 20, 24, 40, 64)))) + rng.choice(("", "-", "/", "_", " ", "=", "token="))
+                       for _ in range(rng.randint(1, 8)))
+        found = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text, re.I | re.A) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, text) if len(m[0]) >= 24]
+        assert secrets.joined(secrets.all_spans(text)) == brute_spans(text, found)
 
 
 def test_op10_entropy(spark):

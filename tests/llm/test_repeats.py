@@ -104,31 +104,84 @@ def test_driver_table(spark):
     check(queries.op9_suffix_dedup(spark, SF).collect(), list(brute_bytes(docs, 200)))
 
 
-def test_tiny_memory(spark, monkeypatch):
-    """What a task remembers changes bytes moved, not results."""
-    monkeypatch.setattr(superkmers, "REMEMBERED", 1)
-    monkeypatch.setattr(superkmers, "SLICE_BYTES", 2000)
-    docs = awkward()
-    rows = frame(spark, docs)
-    packed = superkmers.Packer(50, 3, substrings.settle)
+def found_locally(docs, module, make_units, pieces, window, gram, hot=(), at_once=7):
+    """What three buckets find in documents that one task packs: covered units by document."""
     import pyarrow as pa
 
-    tables = []
-    for i in range(0, len(docs), 7):
-        part = docs[i : i + 7]
-        units = substrings.word_units(pa.array([t for _, t in part], pa.string()))
-        ids = np.array([superkmers.NO_ID if d is None else d for d, _ in part])
-        found = superkmers.runs(units, superkmers.rolled(units.hashes, 8), 50, 8)
-        packed.pack(units, ids, ids, *found, np.ones(len(found[0]), bool))
-        tables += packed.blobs().column("blob").to_pylist()
-    doc, _, start, stop = substrings.judge(50)(superkmers.from_blobs(tables))
+    packed = superkmers.Packer(window, gram, 3, module.settle, np.array(sorted(hot), np.uint64))
+    held = defaultdict(list)
+
+    def hand_on():
+        blobs = packed.blobs()
+        for b, blob in zip(blobs.column("bucket").to_pylist(), blobs.column("blob").to_pylist(), strict=True):
+            held[b].append(blob)
+
+    for i in range(0, len(docs), at_once):
+        part = docs[i : i + at_once]
+        ids = pa.array([d for d, _ in part], pa.int64())
+        batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([t for _, t in part], pa.string())], names=["doc", "key", "text"])
+        for given in superkmers.slices(batch, make_units, pieces, window):
+            packed.pack(*given)
+        hand_on()
     found = defaultdict(set)
-    for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True):
-        found[d] |= set(range(s, e))
-    single = Counter(d for d, _ in docs)
-    wanted = {d: n for d, _, n, _ in brute_words(docs, 50) if d is not None and single[d] == 1}
-    assert {d: len(found.get(d, ())) for d in wanted} == wanted
-    assert rows.count() == len(docs)
+    for blobs in held.values():
+        doc, _, start, stop = module.judge(window)(superkmers.from_blobs(blobs))
+        for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True):
+            found[d] |= set(range(s, e))
+    return found
+
+
+def every_minimiser(docs, make_units, window, gram):
+    import pyarrow as pa
+
+    units = make_units(pa.array([t for _, t in docs], pa.string()))
+    return set(superkmers.runs(units, superkmers.rolled(units.hashes, gram), window, gram)[3].tolist())
+
+
+def test_tiny_memory(monkeypatch):
+    """What a task remembers, how long its slices are, and which minimisers are hot, changes bytes moved, not results."""
+    docs = [(i, t) for i, (_, t) in enumerate(awkward())]
+    words = {d: n for d, _, n, _ in brute_words(docs, 50)}
+    data = {d: n for d, _, n, _, _ in brute_bytes(docs, 200)}
+    hot_words, hot_bytes = every_minimiser(docs, substrings.word_units, 50, 8), every_minimiser(docs, suffixes.byte_units, 200, 24)
+    for remembered, size in ((100_000, 512 << 10), (1, 2000), (100_000, 150)):
+        monkeypatch.setattr(superkmers, "REMEMBERED", remembered)
+        monkeypatch.setattr(superkmers, "SLICE_BYTES", size)
+        monkeypatch.setattr(suffixes, "JUDGED_BYTES", 3000 if size == 2000 else 2 << 20)
+        for hot in ((), hot_words, list(hot_words)[::2]):
+            found = found_locally(docs, substrings, substrings.word_units, substrings.word_pieces, 50, 8, hot)
+            assert {d: len(found.get(d, ())) for d in words} == words
+        for hot in ((), hot_bytes, list(hot_bytes)[::2]):
+            found = found_locally(docs, suffixes, suffixes.byte_units, suffixes.byte_pieces, 200, 24, hot)
+            assert {d: len(found.get(d, ())) for d in data} == data
+
+
+def test_hot_minimisers_by_sample(spark, monkeypatch):
+    """With every minimiser hot, the queries' results stay."""
+    monkeypatch.setattr(superkmers, "HOT_FLOOR", 0)
+    monkeypatch.setattr(superkmers, "HOT_BUCKETS", 0)
+    docs = awkward()
+    read = frame(spark, docs).selectExpr("doc_id AS doc", "xxhash64(text) AS key", "text")
+    assert len(superkmers.hot_minimisers(read, 10**6, substrings.word_units, substrings.word_pieces, 50, 8)) > 50
+    check(substrings.deduplicated(frame(spark, docs), keep_text=False).collect(), list(brute_words(docs, 50)))
+    check(suffixes.deduplicated(frame(spark, docs), keep_bytes=False).collect(), list(brute_bytes(docs, 200)))
+
+
+def test_long_texts(spark):
+    """Texts of over a megabyte are gone through in pieces: one byte, a short period, and random words with repeats."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**7)}é" for _ in range(n))
+    a, b, c = say(60_000), say(30_000), say(60_000)
+    docs = [(1, "x" * 1_500_000), (2, f"{a} {b} {c}"), (3, f"{b}\n{b} end"), (4, "ab " * 500_000), (5, c[: len(c) // 2] + " other " + "x" * 300)]
+    got = {r.doc_id: r for r in substrings.deduplicated(frame(spark, docs)).collect()}
+    half = len(docs[4][1].split(" other ")[0].split(" "))
+    assert [got[d].n_removed for d in (1, 2)] == [0, 0] and got[3].n_removed == 60_000 and got[4].n_removed == 0
+    assert got[5].n_removed in (half, half - 1) and got[3].kept == "end" and got[2].kept == docs[1][1]
+    got = {r.doc_id: r for r in suffixes.deduplicated(frame(spark, docs)).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (1_500_000, 1) and (got[4].n_removed, got[4].n_spans) == (1_500_000, 1)
+    assert got[3].n_removed == 2 * len(b.encode()) or 0 < 2 * len(b.encode()) + 5 - got[3].n_removed < 10
+    twice = len(b.encode()) + len(c[: len(c) // 2].encode())
+    assert abs(got[2].n_removed - twice) < 8 and got[2].n_spans in (1, 2)
 
 
 @settings(max_examples=200, deadline=None)
