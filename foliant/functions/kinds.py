@@ -92,11 +92,17 @@ def by_suffix(suffix: Column) -> Column:
     )
 
 
+def head_text(head: Column) -> Column:
+    """A file's first bytes as text: UTF-8, of whose last character the cut may have left a part, else one byte a character."""
+    whole = [F.substring(head, F.lit(1), F.length(head) - k) for k in range(4)]
+    cut = [F.when(F.is_valid_utf8(x) & ((F.length(head) == HEAD) | F.lit(k == 0)), x.cast("string")) for k, x in enumerate(whole)]
+    return F.coalesce(*cut, F.decode(head, "ISO-8859-1"))
+
+
 def detected(path: Column, content: Column, entries: Column | None = None) -> Column:
     """(kind, mime, confidence): from magic bytes, else the text, else the suffix, else unknown."""
     suffix = suffix_of(path)
-    head = F.substring(content, 1, HEAD)
-    text = F.when(F.is_valid_utf8(head), head.cast("string"))
+    text = head_text(F.substring(content, 1, HEAD))
     return F.coalesce(by_magic(content, suffix, entries), by_text(text), by_suffix(suffix), found("unknown", MIME["unknown"], "fallback"))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.arrays import let
-
 #: Characters that file names lose, names that devices own, the longest stem.
 RESERVED = r'[<>:"/\\|?*\x00-\x1f]'
 DEVICES = r"(?i)\A(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(?:\.|\z)"
@@ -34,19 +33,38 @@ def stem_of(path: Column) -> Column:
 
 def unique_names(docs: DataFrame, stem: str, order: str, out: str = "file", suffix: str = ".md") -> DataFrame:
     """docs with a file name each, no two alike whatever their case: the first of a stem keeps it, the others get -1,
-    -2 ... in order, skipping names that an earlier document has. Stems are folded one family at a time: a stem's family
-    is the stem without such endings, so generated and natural names that could meet do meet."""
-    family = F.regexp_replace(F.lower(F.col(stem)), r"(?:-\d+)+\z", "")
-    rows = docs.withColumn("__family", family)
-    lists = rows.groupBy("__family").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(stem).alias("stem")))).alias("__all"))
-    kind = f"struct<used:array<string>,names:array<struct<at:{dict(docs.dtypes)[order]},name:string>>>"
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<struct<at:{dict(docs.dtypes)[order]},name:string>>").alias("names")).cast(kind)
-
-    def add(acc: Column, x: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(0), F.size(acc["used"])), lambda k: F.when(k == 0, x["stem"]).otherwise(F.concat(x["stem"], F.lit("-"), k.cast("string"))))
-        free = F.get(F.filter(tries, lambda t: ~F.array_contains(acc["used"], F.lower(t))), F.lit(0))
-        return let(free, lambda f: F.struct(F.concat(acc["used"], F.array(F.lower(f))).alias("used"), F.concat(acc["names"], F.array(F.struct(x["at"].alias("at"), f.alias("name")))).alias("names")).cast(kind))
-
-    named = lists.select(F.explode(F.aggregate("__all", start, add)["names"]).alias("__n"))
-    named = named.select(F.col("__n.at").alias("__at"), F.concat(F.col("__n.name"), F.lit(suffix)).alias(out))
-    return docs.join(named, F.col(order) == F.col("__at")).drop("__at")
+    -2 ... in order, skipping names that an earlier document has.
+
+    A stem's family is the stem without such endings: only there generated and natural names can meet. Where a family has
+    one stem, or no stem twice, a row's place among its equals is its number, by one window. What is left, families with
+    several stems and equal ones, is gone through in order, a family at a time."""
+    low = F.lower(F.col(stem))
+    family = F.regexp_replace(low, r"(?:-\d+)+\z", "")
+    rows = docs.withColumns({"__low": low, "__family": family})
+    sizes = rows.groupBy("__family", "__low").agg(F.count("*").alias("n")).groupBy(F.col("__family").alias("__of"))
+    mixed = sizes.agg(F.count("*").alias("stems"), F.max("n").alias("most")).filter("stems > 1 AND most > 1").select("__of")
+    inside = F.col("__family").eqNullSafe(F.col("__of"))
+    place = F.row_number().over(Window.partitionBy("__low").orderBy(order)) - 1
+    ending = lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("-"), k.cast("string")))
+    plain = rows.join(mixed, inside, "left_anti").withColumn("__n", place)
+
+    def numbered(family: pd.DataFrame) -> pd.DataFrame:
+        family = family.sort_values("at", kind="stable")
+        used: set[str] = set()
+        after: dict[str, int] = {}
+        numbers = []
+        for stem in family["low"]:
+            n = after.get(stem, 0)
+            while (name := f"{stem}-{n}" if n else stem) in used:
+                n += 1
+            used.add(name)
+            after[stem] = n + 1
+            numbers.append(n)
+        return pd.DataFrame({"__at": family["at"], "__n": numbers})
+
+    crowd = rows.join(mixed, inside, "left_semi")
+    kind = docs.schema[order].dataType.simpleString()
+    given = crowd.select("__family", F.col(order).alias("at"), F.col("__low").alias("low")).groupBy("__family").applyInPandas(numbered, f"__at {kind}, __n int")
+    crowd = crowd.join(given, F.col(order) == F.col("__at"))
+    both = plain.select(*docs.columns, "__n").unionByName(crowd.select(*docs.columns, "__n"))
+    return both.withColumn(out, F.concat(F.col(stem), ending(F.col("__n")), F.lit(suffix))).drop("__n")

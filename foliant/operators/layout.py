@@ -17,9 +17,9 @@ def words_to_cells(words: DataFrame, cells: DataFrame, keys: list[str], word_ord
     on = (x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    joined = words.join(own, on)
     names = words.columns
-    return joined.groupBy(*names).agg(F.min(F.struct("r", "c")).alias("__cell")).select(*names, F.col("__cell.r").alias("r"), F.col("__cell.c").alias("c"))
+    joined = words.withColumn("__word", F.monotonically_increasing_id()).join(own, on)  # words may be alike
+    return joined.groupBy("__word", *names).agg(F.min(F.struct("r", "c")).alias("__cell")).select(*names, F.col("__cell.r").alias("r"), F.col("__cell.c").alias("c"))
 
 
 def outside_boxes(chars: DataFrame, boxes: DataFrame, keys: list[str], inside: bool = False) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,13 +65,24 @@ def documents(results: DataFrame, order: str) -> DataFrame:
     )
 
 
-def manifest(docs: DataFrame, order: str, producer: str, version: str, target: str, created_at: Column | None = None) -> DataFrame:
-    """One row: the manifest as JSON. Fields that are null are left out."""
+def manifest_head(docs: DataFrame, producer: str, version: str, target: str, created_at: Column | None = None) -> DataFrame:
+    """One row: the manifest's own fields."""
     created = created_at if created_at is not None else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    rows = F.sort_array(F.collect_list(F.struct(order, F.struct(*(c for c in docs.columns if c != order)).alias("doc"))))
-    whole = docs.agg(F.count("*").alias("document_count"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.transform(rows, lambda x: x["doc"]).alias("documents"))
-    head = [F.lit(SCHEMA_VERSION).alias("schema"), F.lit(producer).alias("producer"), F.lit(version).alias("producer_version"), F.lit(target).alias("target"), created.alias("created_at")]
-    return whole.select(F.to_json(F.struct(*head, "document_count", "total_tokens", "documents"), {"pretty": "true"}).alias("manifest"))
+    head = {"schema": F.lit(SCHEMA_VERSION), "producer": F.lit(producer), "producer_version": F.lit(version), "target": F.lit(target), "created_at": created}
+    return docs.agg(F.count("*").alias("document_count"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens")).select(*(c.alias(k) for k, c in head.items()), "document_count", "total_tokens")
+
+
+def manifest_lines(docs: DataFrame, order: str, *head) -> Iterator[str]:
+    """The manifest's JSON, piece by piece: documents come in order, a partition of them at a time. Fields that are null
+    are left out."""
+    first = json.dumps(manifest_head(docs, *head).first().asDict(), indent=2, ensure_ascii=False)
+    yield first.removesuffix("\n}") + ',\n  "documents" : ['
+    rows = docs.select(order, F.to_json(F.struct(*(c for c in docs.columns if c != order))).alias("__json")).orderBy(order).select("__json")
+    mark = "\n    "
+    for row in rows.toLocalIterator():
+        yield mark + row[0]
+        mark = ",\n    "
+    yield "\n  ]\n}\n"
 
 
 def regression(golden: DataFrame, current: DataFrame, key: str = "path") -> DataFrame:

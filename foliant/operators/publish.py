@@ -7,7 +7,7 @@ it. What was written comes back as a table (source, path, outcome), so a run can
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -42,10 +42,11 @@ def free_path(fs: pafs.FileSystem, path: str, policy: str) -> str:
     return f"{stem}-{n}{dot}{suffix}"
 
 
-def write_atomically(fs: pafs.FileSystem, path: str, data: bytes) -> None:
+def write_atomically(fs: pafs.FileSystem, path: str, parts: Iterable[bytes]) -> None:
     beside = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(beside, compression=None) as out:
-        out.write(data)
+        for part in parts:
+            out.write(part)
     fs.move(beside, path)
 
 
@@ -67,7 +68,7 @@ def publish(rows: DataFrame, folder: str, policy: str = "unique") -> DataFrame:
                     target = free_path(fs, f"{base}/{file}", policy)
                     stem = target.rpartition(".")[0]
                     for path, body in [(target, text), *((f"{stem}.part{n:03d}.md", c) for n, c in enumerate(chunks or [], 1))]:
-                        write_atomically(fs, path, (body or "").encode())
+                        write_atomically(fs, path, [(body or "").encode()])
                         done.append(path)
                     out.append((source, target, "written"))
                 except (OSError, FileExistsError) as e:
@@ -95,8 +96,8 @@ def write_bundle(results: DataFrame, folder: str, order: str, producer: str = "f
     bad = publish(files, folder, "fail").filter("outcome <> 'written'").first()
     if bad:
         raise OSError(f"{bad.source}: {bad.outcome}")
-    text = manifest.manifest(docs, order, producer, version, target, created_at).first()[0]
-    write_atomically(fs, f"{base}/manifest.json", text.encode())
+    lines = manifest.manifest_lines(docs, order, producer, version, target, created_at)
+    write_atomically(fs, f"{base}/manifest.json", (line.encode() for line in lines))
     return f"{folder}/manifest.json"
 
 

@@ -521,16 +521,17 @@ def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.filled_merges(cells, merges, ["sheet"])
 
 
-@query(f"""SELECT doc_id, rpad(source || '.txt', 28, ' ') || lpad(printf('%.1f KB', 4.0), 12, ' ') || lpad(CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE printf('%.1f KB', round_even(strlen(text) / 1024, 1)) END, 12, ' ')
-|| lpad('~' || format('{{:,}}', {tokens.estimated_sql('text')}), 10, ' ') AS line FROM documents WHERE doc_id % 10 <> 0""")
+_SIZE = "lpad(CASE WHEN {0} < 1024 THEN {0} || ' B' ELSE printf('%.1f KB', round_even({0} / 1024, 1)) END, 12, ' ')"
+
+
+@query(f"""SELECT doc_id, rpad(source || '.txt', 28, ' ') || {_SIZE.format("o")} || {_SIZE.format("m")} || lpad('~' || format('{{:,}}', n), 10, ' ')
+|| lpad(printf('%.1f%%', CASE WHEN o <= 0 THEN 0.0 ELSE greatest(0.0, least(100.0, (1 - m::DOUBLE / o::DOUBLE) * 100)) END), 8, ' ') AS line
+FROM (SELECT doc_id, source, strlen(text) AS m, strlen(text) + doc_id % 7 * 100 AS o, {tokens.estimated_sql('text')} AS n FROM documents)""")
 def savings_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's lines less the last column, which halves of per cent decide."""
-    rows = _results(spark, sf_dir).withColumn("original_size", F.lit(4096).cast("long"))
-    ids = rows.filter("success").select("doc_id", "source", "success", "markdown", "original_size")
-    lines = ids.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ids.columns if c != "doc_id"))
-    size = F.octet_length("markdown").cast("long")
-    shown = lines.select("doc_id", names.file_name(F.col("source")).alias("name"), F.col("original_size"), size.alias("markdown_size"), tokens.estimated(F.col("markdown")).alias("tokens"), F.lit(0.0).alias("saved_ratio"))
-    return manifest.savings_lines(shown, "doc_id").select("doc_id", F.substring("line", 1, 62).alias("line"))
+    size = F.octet_length("text").cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".txt")).alias("name"), size.alias("markdown_size"), (size + F.col("doc_id") % 7 * 100).alias("original_size"), tokens.estimated(F.col("text")).alias("tokens"))
+    shown = docs.withColumn("saved_ratio", tokens.saved_percent(F.col("original_size"), F.col("markdown_size")))
+    return manifest.savings_lines(shown, "doc_id").select("doc_id", "line")
 
 
 @query("""SELECT doc_id, CASE WHEN suffix IN ('mp3', 'mp4') THEN 'audio and video are not read' WHEN suffix = 'md' THEN 'a result' WHEN suffix = 'zzz' THEN 'unsupported kind' END AS reject_reason

@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import kinds
 from foliant.operators import layout, manifest, publish
 from foliant.sources import encoding, files, legacy, office, web
 from foliant.streaming import intake
@@ -340,3 +341,40 @@ def test_layout(spark):
     assert layout.union_area([(0, 0, 4, 4), (2, 2, 6, 6), (0, 0, 1, 1)]) == 28
     fragments = spark.createDataFrame([(1, 10.0, 8.0, 50.0, "b"), (1, 12.0, 8.0, 0.0, "a"), (1, 30.0, 8.0, 0.0, "c"), (1, 15.0, 8.0, 90.0, "d")], "page int, y double, height double, x double, text string")
     assert [r.text for r in layout.clustered_rows(fragments, ["page"]).orderBy("row_no").collect()] == ["a b", "d", "c"]
+
+
+def test_heads_of_other_encodings(spark):
+    """A head cut inside a character, or not in UTF-8, is still read for its marks."""
+    thai = "<!DOCTYPE html>" + "ภาษาไทย" * 2000
+    rows = [(f"p{k}", " ".encode() * k + thai.encode()) for k in range(4)]
+    rows += [("cp874", thai.encode("cp874")), ("latin", "#!/bin/sh\n# café".encode("latin-1")), ("short", b"<html>\xe0\xb8"), ("blob", bytes(range(256)) * 8)]
+    frame = spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "path string, content binary")
+    got = {r.path: r.k.kind for r in frame.select("path", kinds.detected(F.col("path"), F.col("content")).alias("k")).collect()}
+    assert got == {"p0": "html", "p1": "html", "p2": "html", "p3": "html", "cp874": "html", "latin": "code", "short": "html", "blob": "unknown"}
+
+
+def test_equal_words_stay_apart(spark):
+    from foliant.operators import layout
+
+    words = spark.createDataFrame([(1, 5, 5, 2, 2, "a"), (1, 5, 5, 2, 2, "a")], "page int, left int, top int, width int, height int, text string")
+    cells = spark.createDataFrame([(1, 0, 0, 0, 0, 10, 10)], "page int, r int, c int, x0 int, y0 int, x1 int, y1 int")
+    assert layout.words_to_cells(words, cells, ["page"], "left").count() == 2
+
+
+def test_names_of_mixed_families(spark):
+    """Generated and natural names meet: as by going through all documents in order."""
+    import random
+
+    from foliant.functions import names
+
+    rng = random.Random(3)
+    stems = [rng.choice(["a", "A", "a-1", "a-1-1", "a-2", "b", "b-7", "c", "C"]) for _ in range(300)] + [f"d-{i}" for i in range(50)] + ["e"] * 50
+    used, wanted = set(), {}
+    for i, stem in enumerate(stems):
+        n = 0
+        while (name := f"{stem}-{n}" if n else stem).lower() in used:
+            n += 1
+        used.add(name.lower())
+        wanted[i] = f"{name}.md"
+    frame = spark.createDataFrame(list(enumerate(stems)), "n long, stem string").repartition(3)
+    assert {r.n: r.file for r in names.unique_names(frame, "stem", "n").collect()} == wanted
