@@ -318,8 +318,10 @@ def labels(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wid
     own = found.select(F.col("node").alias("o"), "label")
     held = large.select("node", "size", F.explode(F.array_distinct("bands")).alias("band")).join(own, F.col("node") == F.col("o")).select("band", "node", "size", "label")
     held = staged(held, "banded")
-    by_label = held.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    tops = by_label.groupBy(F.col("band").alias("of")).agg(F.max(F.struct("n", "label", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).filter("labels > 1")
+    named = [F.sum(F.shiftright(F.xxhash64(F.lit(k), F.col("node")), 24)).alias(f"s{k}") for k in (1, 2, 3)]  # 40 bits each: sums don't overflow
+    by_label = held.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *named)
+    tops = by_label.groupBy(F.col("band").alias("of")).agg(F.max(F.struct("n", "label", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels"), *(F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2, 3))).filter("labels > 1")
+    tops = tops.dropDuplicates(["n", "s1", "s2", "s3"])  # near copies share many bands: of those with the same members one is enough
     cells = lambda n, size: F.greatest(F.ceil(n / chunk_rows), F.ceil(size / chunk_bytes), F.lit(1)).cast("long")
     tops = tops.select("of", F.col("top.label").alias("top"), cells(F.col("n"), F.col("bytes")).alias("chunks"), cells(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("blocks"))
     tops = staged(tops, "mixed-bands")
