@@ -5,8 +5,10 @@ hash among its k-grams, so windows that are equal have equal fingerprints, and a
 shares one. Distinct fingerprints of documents and items are joined; documents with a common one are extended: each of
 their windows is compared with the items' windows, as 128 bits of hashes beside the fingerprint.
 
-Documents with equal texts are compared once. Fingerprints of the benchmark are broadcast only where their number is at
-most BROADCAST_ROWS, else joined by shuffle; AQE may split a hot fingerprint, as results are partial sets by text.
+Documents with equal texts are compared once. Fingerprints and windows of the benchmark are rows of a fixed size, broadcast
+where they measure little, else joined by shuffle; AQE may split a hot one, as results are partial sets by text. Windows
+that the same items hold share a set's number (128 bits of the items' hashes, and their count), so a list of items stands
+only in the result: hits bring numbers, and each text looks a number's items up once.
 
 Defined results: a null text has no words and no hits; an item without words has no window; null and repeated ids of
 documents give a row each; equal items each count; a null item id isn't listed, though its words are hit; an empty
@@ -15,15 +17,16 @@ documents table gives no rows, an empty benchmark no hits; other columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ascii_lower, same, staged, with_run_hashes, with_run_minima, words_column
+from foliant.llm.common import ascii_lower, same, sent_if_small, staged, with_run_hashes, with_run_minima, words_column
 
 WINDOW = 13
-BROADCAST_ROWS = 1_000_000
 #: Fixed value: what separates words after A-Z are in lower case.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Columns that make up a set's number.
+SET = ["__s0", "__s1", "__s2"]
 
 
 def scheme(length: int) -> tuple[int, int]:
@@ -60,8 +63,9 @@ def text_keys(text: Column) -> dict[str, Column]:
     return {"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(7), text)}
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> tuple[DataFrame, list[int]]:
-    """Distinct windows of the items with the items that hold them, as a written table; the lengths that occur."""
+def item_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
+    """Distinct windows with the number of the set of items that hold them, and the items of each number, as written
+    tables; the lengths that occur."""
     items = with_hashes(benchmark.select(F.col(id_column).cast("string").alias("__item"), F.col(text_column).alias("__text")), F.col("__text"))
     items = items.filter("__n > 0").withColumn("__len", F.least(F.col("__n"), F.lit(window)))
     lengths = sorted(r[0] for r in items.select("__len").distinct().collect())  # at most ``window`` numbers
@@ -71,18 +75,20 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, id_column: str = "i
     whole = every[0]
     for more in every[1:]:
         whole = whole.unionByName(more)
-    return staged(whole.groupBy("__l", "__marks", "__wa", "__wb").agg(F.collect_set("__item").alias("__items")), "item-windows"), [int(n) for n in lengths]
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    keys = ["__l", "__marks", "__wa", "__wb"]
+    held = staged(whole.select("__item", *keys).distinct(), "item-windows")
+    number = [F.count(F.lit(1)).alias("__s0"), *(F.bit_xor(F.xxhash64(F.lit(seed), F.col("__item"))).alias(f"__s{seed}") for seed in (1, 2))]
+    known = staged(held.groupBy(*keys).agg(*number), "windows")
+    left, right = held.filter("__item IS NOT NULL").alias("h"), known.alias("k")
+    sets = left.join(right, [F.col(f"h.{c}") == F.col(f"k.{c}") for c in keys]).select("__item", *SET).distinct()
+    return known, staged(sets, "item-sets"), [int(n) for n in lengths]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """By text (its 128 bits): runs of hit words (start, end), words hit, and items with occurring windows."""
-    known, lengths = item_windows(benchmark, window)
+    known, sets, lengths = item_windows(benchmark, window)
     marks = staged(known.select(F.col("__l").alias("__ml"), F.col("__marks").alias("__mm")).distinct(), "item-marks")
-    n_marks, n_known = marks.count(), known.count()
+    sent = sent_if_small(marks, 12)
     read = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")).withColumns(text_keys(F.col("__text")))
     hashed = with_hashes(read, F.col("__text")).drop("__text")
 
@@ -94,35 +100,35 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column:
 
     def marked(n: int) -> DataFrame:
         own = with_fingerprints(hashed, n).select("__id", "__t1", "__t2", F.explode(F.array_distinct("__marks")).alias("__m"))
-        there = small(marks.filter(F.col("__ml") == n), n_marks)
-        return own.join(there, F.col("__m") == F.col("__mm"), "left_semi").select("__id", "__t1", "__t2")
+        return own.join(sent.filter(F.col("__ml") == n), F.col("__m") == F.col("__mm"), "left_semi").select("__id", "__t1", "__t2")
 
     near = both(marked).groupBy("__t1", "__t2").agg(F.min("__id").alias("__first"))
     near = near.select(F.col("__t1").alias("__n1"), F.col("__t2").alias("__n2"), "__first")
     chosen = read.join(near, (F.col("__t1") == F.col("__n1")) & (F.col("__t2") == F.col("__n2")) & same(F.col("__id"), F.col("__first")), "left_semi")
     chosen = staged(chosen.select("__t1", "__t2", "__text"), "near-benchmark")
-    table = small(known.withColumnsRenamed({"__l": "__kl", "__marks": "__km", "__wa": "__ka", "__wb": "__kb"}), n_known)
+    table = sent_if_small(known.withColumnsRenamed({"__l": "__kl", "__marks": "__km", "__wa": "__ka", "__wb": "__kb"}), 52)
 
     def extended(n: int) -> DataFrame:
         own = windows(with_hashes(chosen, F.col("__text")).drop("__text"), n, "__t1", "__t2")
         on = (F.col("__marks") == F.col("__km")) & (F.col("__wa") == F.col("__ka")) & (F.col("__wb") == F.col("__kb")) & (F.col("__kl") == n)
-        return own.join(table, on).select("__t1", "__t2", "__p", "__l", "__items")
-
-    found = both(extended).groupBy("__t1", "__t2").agg(F.sort_array(F.collect_set(F.struct("__p", "__l"))).alias("__at"), F.collect_set("__items").alias("__sets"))
-    runs = F.aggregate("__at", F.array().cast("array<struct<start:int,end:int>>"), _joined)
-    found = found.withColumn("runs", runs)
-    size = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+        return own.join(table, on).select("__t1", "__t2", "__p", "__l", *SET)
+
+    found = staged(both(extended), "found")
+    text = ["__t1", "__t2"]
+    # windows in order of their starts: one begins a run where it starts behind the end of all before it
+    before = Window.partitionBy(*text).orderBy("__p", "__l").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy(*text).orderBy("__p", "__l").rowsBetween(Window.unboundedPreceding, 0)
+    runs = found.withColumn("__reach", F.max(F.col("__p") + F.col("__l")).over(before))
+    runs = runs.withColumn("__run", F.count_if(F.coalesce(F.col("__reach") < F.col("__p"), F.lit(True))).over(up_to))
+    runs = runs.groupBy(*text, "__run").agg(F.min("__p").alias("start"), F.max(F.col("__p") + F.col("__l")).alias("end"))
+    runs = runs.groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"))
+    sets = sets.withColumnsRenamed({c: f"{c}s" for c in SET})
+    items = found.select(*text, *SET).distinct().join(sent_if_small(sets, 24 + F.octet_length("__item")), [F.col(c) == F.col(f"{c}s") for c in SET])
+    items = items.groupBy(F.col("__t1").alias("__i1"), F.col("__t2").alias("__i2")).agg(F.sort_array(F.collect_set("__item")).alias("items"))
+    out = runs.join(items, (F.col("__t1") == F.col("__i1")) & (F.col("__t2") == F.col("__i2")), "left")
+    out = out.select(F.col("__t1").alias("__h1"), F.col("__t2").alias("__h2"), "runs", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     # a table, so the join with documents has plain exchanges on both sides and AQE may split a group of copies
-    return staged(found.select(F.col("__t1").alias("__h1"), F.col("__t2").alias("__h2"), "runs", size.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("__sets"))).alias("items")), "hits")
-
-
-def _joined(runs: Column, at: Column) -> Column:
-    """Runs with one more window, which starts no earlier than the last run."""
-    last = F.element_at(runs, -1)
-    start, end = at["__p"], at["__p"] + at["__l"]
-    meets = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] >= start)
-    grown = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"))))
-    return F.when(meets, grown).otherwise(F.concat(runs, F.array(F.struct(start.alias("start"), end.alias("end")))))
+    return staged(out, "hits")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
