@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions import kinds, names, text
-from foliant.sources import legacy, office, web
+from foliant.sources import images, legacy, office, web
 from foliant.sources.encoding import read_text
 
 #: Suffixes that a folder's scan passes over, so results aren't read again.
@@ -147,13 +147,13 @@ def read_code(data: bytes, name: str, options: dict) -> tuple[str, dict]:
 
 
 Reader = Callable[[bytes, str, dict], tuple[str, dict]]
-#: Readers by kind. Another kind, or a better reader of one, is an entry more.
+#: Readers by kind. Another kind, or a better reader of one, is an entry more. A figure named warning is the result's.
 READERS: dict[str, tuple[str, Reader]] = {
     "html": ("web", lambda d, n, o: (web.read_html(d, n), {})), "eml": ("mail", lambda d, n, o: (web.read_mail(d, n), {})), "docx": ("word", office.read_docx), "pptx": ("slides", office.read_pptx),
     "xlsx": ("sheets", office.read_xlsx), "csv": ("sheets", office.read_csv), "json": ("text", read_json), "code": ("text", read_code), "text": ("text", read_code),
-    "doc": ("word binary", legacy.read_doc), "ppt": ("slides binary", legacy.read_ppt),
+    "doc": ("word binary", legacy.read_doc), "ppt": ("slides binary", legacy.read_ppt), "image": ("image", images.read_image),
 }
-MISSING = {"pdf": "no PDF reader is installed", "image": "no OCR engine is installed", "media": "audio and video are not read", "unknown": "the kind of file is not known"}
+MISSING = {"pdf": "no PDF reader is installed", "media": "audio and video are not read", "unknown": "the kind of file is not known"}
 
 
 def convert_one(path: str, kind: str, content: bytes | None, options: dict, readers: dict | None = None) -> dict:
@@ -168,7 +168,8 @@ def convert_one(path: str, kind: str, content: bytes | None, options: dict, read
         if not content:
             raise ValueError("the file is empty")
         markdown, metrics = reader(content, name, options)
-        return {**out, "success": True, "markdown": markdown, "engine": engine, "metrics": {k: str(v).lower() for k, v in metrics.items()}}
+        warning = metrics.pop("warning", None)
+        return {**out, "success": True, "markdown": markdown, "warning": warning, "engine": engine, "metrics": {k: str(v).lower() for k, v in metrics.items()}}
     except Exception as e:  # noqa: BLE001  one bad file never fails the others
         return {**out, "engine": engine, "error": f"{type(e).__name__}: {e}"}
 

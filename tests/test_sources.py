@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import kinds
 from foliant.operators import layout, manifest, publish
-from foliant.sources import encoding, files, legacy, office, web
+from foliant.sources import encoding, files, images, legacy, office, web
 from foliant.streaming import intake
 
 
@@ -235,6 +235,44 @@ def test_ppt():
     assert legacy.read_ppt(compound({"PowerPoint Document": stream, "Current User": user}), "s.ppt", {})[0] == "# s.ppt\n\n## Slide 1: Title\n\n- กล่อง\n- two\n"
 
 
+GREYS = b"".join(bytes([i, i, i, 0]) for i in range(256))
+#: Images of 7 x 5 pixels, header only, with their mode.
+PIXELS = {
+    "png": (b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">IIBB", 7, 5, 8, 6), "RGBA"),
+    "jpeg": (b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HHB", 5, 7, 3), "RGB"),
+    "gif": (b"GIF89a" + struct.pack("<HHBBB", 7, 5, 0x80, 0, 0) + bytes(3) + b"\xff\0\0" + b"!\xf9\x02ab\0," + bytes(9), "P"),
+    "gif of greys": (b"GIF87a" + struct.pack("<HHBBB", 7, 5, 0x80, 0, 0) + bytes(3) + b"\1\1\1" + b"," + bytes(9), "L"),
+    "bmp": (b"BM" + bytes(12) + struct.pack("<IiiHH", 40, 7, -5, 1, 24) + bytes(24), "RGB"),
+    "bmp of greys": (b"BM" + bytes(12) + struct.pack("<IiiHH", 40, 7, 5, 1, 8) + bytes(24) + GREYS, "L"),
+    "webp": (b"RIFF\0\0\0\0WEBPVP8X" + bytes(4) + b"\x10\0\0\0" + b"\6\0\0\4\0\0", "RGBA"),
+    "webp lossless": (b"RIFF\0\0\0\0WEBPVP8L" + bytes(4) + b"\x2f" + struct.pack("<I", 6 | 4 << 14), "RGB"),
+    "webp lossy": (b"RIFF\0\0\0\0WEBPVP8 " + bytes(7) + b"\x9d\x01\x2a" + struct.pack("<HH", 7, 5), "RGB"),
+    "tiff": (b"MM\0*" + struct.pack(">IH", 8, 4) + struct.pack(">HHIHH", 256, 3, 1, 7, 0) + struct.pack(">HHII", 257, 4, 1, 5) + struct.pack(">HHII", 258, 3, 3, 0) + struct.pack(">HHIHH", 277, 3, 1, 3, 0), "RGB"),
+}
+
+
+def test_image_headers():
+    for name, (data, mode) in PIXELS.items():
+        assert images.header(data) == (name.split()[0], 7, 5, mode)
+        for cut in range(len(data) - 1):  # a cut header is an error of its own kind, or still enough
+            try:
+                images.header(data[:cut])
+            except ValueError:
+                pass
+    assert images.read_image(PIXELS["jpeg"][0], "a.jpg", {})[0].startswith("# a.jpg\n\n- **Type:** image (jpeg)\n- **Dimensions:** 7 x 5\n- **Mode:** RGB\n")
+    with pytest.raises(ValueError):
+        images.header(b"")
+
+
+def test_images(spark, tmp_path):
+    for name, data in {"i.png": PIXELS["png"][0], "bad.gif": b"GIF89a", "p.html": b"<html><p>x</html>"}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {r.source.rsplit("/", 1)[-1]: r for r in files.converted(files.detections(files.scan(spark, str(tmp_path)))).collect()}
+    assert {n for n, r in rows.items() if not r.success} == {"bad.gif"} and rows["bad.gif"].error == "ValueError: a broken gif image"
+    assert "- **Dimensions:** 7 x 5\n- **Mode:** RGBA" in rows["i.png"].markdown and rows["i.png"].warning == "OCR unavailable: no OCR engine is installed"
+    assert "warning" not in rows["i.png"].metrics and rows["p.html"].warning is None
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("in")
