@@ -291,7 +291,7 @@ def test_conversion(spark, folder):
     rows = {r.source.rsplit("/", 1)[-1]: r for r in results.collect()}
     assert set(rows) == {"d.docx", "s.pptx", "b.xlsx", "t.csv", "p.html", "x.json", "c.py", "bad.docx", "f.pdf", "D.html"}
     assert {n for n, r in rows.items() if not r.success} == {"bad.docx", "f.pdf"}
-    assert rows["d.docx"].confidence == "magic-zip" and rows["f.pdf"].error == "no PDF reader is installed"
+    assert rows["d.docx"].confidence == "magic-zip" and rows["f.pdf"].error == "ValueError: the PDF has no pages"
     assert rows["c.py"].markdown == "# c.py\n\n```python\nprint(1)\n\n\n\n# end\n```\n" and rows["D.html"].markdown == "# D\n\nsame name\n"
     assert rows["b.xlsx"].metrics["rows_detected"] == "2"
     with pytest.raises(ValueError):
