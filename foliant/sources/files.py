@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions import kinds, names, text
-from foliant.sources import images, legacy, office, pdf, web
+from foliant.sources import biff, images, legacy, office, pdf, web
 from foliant.sources.encoding import read_text
 
 #: Suffixes that a folder's scan passes over, so results aren't read again.
@@ -150,7 +150,7 @@ Reader = Callable[[bytes, str, dict], tuple[str, dict]]
 #: Readers by kind. Another kind, or a better reader of one, is an entry more. A figure named warning is the result's.
 READERS: dict[str, tuple[str, Reader]] = {
     "html": ("web", lambda d, n, o: (web.read_html(d, n), {})), "eml": ("mail", lambda d, n, o: (web.read_mail(d, n), {})), "docx": ("word", office.read_docx), "pptx": ("slides", office.read_pptx),
-    "xlsx": ("sheets", office.read_xlsx), "csv": ("sheets", office.read_csv), "json": ("text", read_json), "code": ("text", read_code), "text": ("text", read_code),
+    "xlsx": ("sheets", lambda d, n, o: (biff.read_xls if d.startswith(legacy.SIGNATURE) else office.read_xlsx)(d, n, o)), "csv": ("sheets", office.read_csv), "json": ("text", read_json), "code": ("text", read_code), "text": ("text", read_code),
     "doc": ("word binary", legacy.read_doc), "ppt": ("slides binary", legacy.read_ppt), "image": ("image", images.read_image), "pdf": ("pdf", pdf.read_pdf),
 }
 MISSING = {"media": "audio and video are not read", "unknown": "the kind of file is not known"}
