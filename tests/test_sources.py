@@ -187,7 +187,8 @@ def compound(streams):
     return head.ljust(512, b"\xff")[:512] + b"".join(sectors)
 
 
-def word97(text):
+def word97(text, paragraphs=None, runs=None):
+    """A file of two pieces, one of a byte a character; paragraphs and runs: (characters, style, properties) in order."""
     main = bytearray(4096)
     struct.pack_into("<HH", main, 0, 0xA5EC, 0xC1)
     struct.pack_into("<H", main, 10, 0x0200)
@@ -201,17 +202,53 @@ def word97(text):
     table = b"\x01\x02\x00zz\x02" + struct.pack("<I", len(pieces)) + pieces
     data = bytearray(body + b)
     struct.pack_into("<II", data, 0x01A2, 0, len(table))
+    place = lambda i: 4096 + i if i < half else second + 2 * (i - half)
+    for at, width, entries in ((0x0102, 13, paragraphs), (0x00FA, 1, runs)):
+        if entries is None:
+            continue
+        page, bounds, end, top = bytearray(512), [0], 510, 4 * (len(entries) + 1)
+        for k, (n, style, given) in enumerate(entries):
+            bounds.append(bounds[-1] + n)
+            body = b"".join(struct.pack("<HB" if c >> 13 < 2 else "<HH", c, v) for c, v in given) + (struct.pack("<HH", 0xD608, 3) + b"zz" if style == 0 and width == 13 else b"")
+            body = struct.pack("<H", style) + body if width == 13 else body
+            body += b"\0" * (len(body) % 2) if width == 13 else b""
+            entry = (b"\0" + bytes([len(body) // 2]) if width == 13 else bytes([len(body)])) + body
+            end = (end - len(entry)) // 2 * 2
+            page[end : end + len(entry)] = entry
+            page[top + width * k] = end // 2
+        struct.pack_into(f"<{len(bounds)}I", page, 0, *map(place, bounds))
+        page[511] = len(entries)
+        data += b"\0" * (-len(data) % 512)
+        struct.pack_into("<II", data, at, len(table), 12)
+        table += struct.pack("<III", place(0), place(bounds[-1]), len(data) // 512)
+        data += page
     return compound({"WordDocument": bytes(data), "1Table": table})
 
 
 def test_doc():
     text = "First line\rField \x13 HYPERLINK x \x14shown\x15 here\rh1\x07h2\x07\x07a\x07b|c\x07\x07Last\r"
-    assert legacy.read_doc(word97(text), "w.doc", {})[0] == "# w.doc\n\nFirst line\nField shown here\n\n| h1 | h2 |\n| --- | --- |\n| a | b\\|c |\n\nLast\n"
+    assert legacy.read_doc(word97(text), "w.doc", {})[0] == "# w.doc\n\nFirst line\n\nField shown here\n\n| h1 | h2 |\n| --- | --- |\n| a | b\\|c |\n\nLast\n"
     assert legacy.read_doc(rb"{\rtf1 hello}", "w.doc", {})[0] == "# w.doc\n\nhello\n"
     with pytest.raises(ValueError):
         legacy.read_doc(b"nothing", "w.doc", {})
 
 
+def test_doc_formats():
+    cell, end = [(legacy.IN_TABLE, 1)], [(legacy.IN_TABLE, 1), (legacy.ROW_END, 1)]
+    parts = [("Title\r", 2, []), ("one\r", 0, [(legacy.LIST, 3)]), ("two\r", 0, [(legacy.LIST, 3), (legacy.LEVEL, 1)]), ("h1\x07", 0, cell), ("h2\x07", 0, cell), ("h3\x07", 0, cell), ("\x07", 0, end),
+             ("a\x07", 0, cell), ("\x07", 0, cell), ("c\r", 0, cell), ("d\x07", 0, cell), ("\x07", 0, end), ("a\tbold\xa0word and it\r", 0, [])]
+    text = "".join(t for t, _, _ in parts)
+    lead = len(text) - len("bold\xa0word and it\r")
+    runs = [(lead, 0, []), (9, 0, [(legacy.BOLD, 1)]), (5, 0, []), (2, 0, [(legacy.ITALIC, 0x81)]), (1, 0, [(legacy.BOLD, 0x80)])]
+    got = legacy.read_doc(word97(text, [(len(t), style, given) for t, style, given in parts], runs), "w.doc", {})[0]
+    assert got == "# w.doc\n\n## Title\n\n- one\n  - two\n| h1 | h2 | h3 |\n| --- | --- | --- |\n| a |  | c<br>d |\n\na **bold word** and *it*\n"
+    thai = "x ที่ ดี y\r"
+    pad = "." * len(thai) + "\r"
+    runs = [(len(pad) + 2, 0, []), (1, 0, [(legacy.BOLD, 1)]), (len(thai) - 3, 0, [])]
+    assert "x **ที่** ดี y" in legacy.read_doc(word97(pad + thai, None, runs), "w.doc", {})[0]
+    assert legacy.plain("\ud83d\ude00 a\x1eb\x13") == "😀 a-b" and legacy.plain("\ud83d") == "�"
+
+
 def test_ppt():
     record = lambda kind, body, form=0: struct.pack("<HHI", form, kind, len(body)) + body
     old = record(legacy.SLIDE, record(legacy.DRAWING_TEXT, record(legacy.BYTES, b"stale"), 0xF), 0xF)
