@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import kinds, names, tables, text, thai, tokens
-from foliant.operators import chunking, layout, manifest, readings
-from foliant.sources import files, web
+from foliant.operators import chunking, layout, manifest, profiles, readings
+from foliant.sources import files, office, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -236,7 +237,8 @@ def eml_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT min(CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END) AS path, count(*) AS n FROM documents GROUP BY lower(source)")
 def target_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "documents").select(F.expr("CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END").alias("path"))
-    return paths.groupBy(F.lower("path").alias("k")).agg(F.min("path").alias("path"), F.count("*").alias("n")).drop("k")
+    counts = paths.groupBy(F.lower("path").alias("k")).agg(F.count("*").alias("n"))
+    return files.without_repeats(paths).join(counts, F.lower("path") == F.col("k")).select("path", "n")
 
 
 # -- chunks -----------------------------------------------------------------
@@ -249,9 +251,8 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY blanks) - 1)::INT AS block_no, block FROM b""")
 def logical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have neither fences nor headers; blocks are what blank lines part."""
-    lines = F.split("text", r"\n(?:[ \t]*(?:\n|\z))+")
-    blocks = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"\A\n+|\n+\z", "")), lambda x: F.trim(x) != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(blocks).alias("block_no", "block"))
+    blocks = F.arrow_udf(lambda texts: pa.array([chunking.logical_blocks(t.as_py() or "") for t in texts], pa.list_(pa.string())), "array<string>")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(blocks("text")).alias("block_no", "block"))
 
 
 @query("""
@@ -338,8 +339,8 @@ def truncate_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, coalesce(max(n) FILTER (trim(line) <> ''), 0)::INT AS n_rows FROM (SELECT doc_id, unnest(string_split(text || chr(10) || chr(10), chr(10))) AS line, generate_subscripts(string_split(text || chr(10) || chr(10), chr(10)), 1) AS n FROM documents) GROUP BY doc_id""")
 def last_nonblank_rowcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = F.transform(F.split(F.concat("text", F.lit("\n\n")), "\n"), lambda x, i: F.when(F.trim(x) != "", i + 1).otherwise(0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_max(places).alias("n_rows"))
+    count = F.arrow_udf(lambda texts: pa.array([office.scanned(([x] for x in t.as_py().split("\n")), 1)[1] for t in texts], pa.int32()), "int")
+    return table(spark, sf_dir, "documents").select("doc_id", count(F.concat("text", F.lit("\n\n"))).alias("n_rows"))
 
 
 @query("""SELECT event_id AS id, CASE WHEN strftime(ts, '%H:%M:%S.%f') = '00:00:00.000000' THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown FROM events
@@ -458,6 +459,44 @@ def mojibake_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", thai.has_swapped_letters(body).alias("swapped"), thai.has_lost_marks(body).alias("lost"))
 
 
+# -- profiles and lines -----------------------------------------------------
+
+#: Orders as pages, their lines as columns of a page, quantities as ink.
+_PROFILE = "SELECT l_orderkey AS page, l_linenumber AS x, max(l_quantity) AS ink FROM lineitem GROUP BY ALL"
+
+
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("x")).agg(F.max("l_quantity").alias("ink"))
+
+
+@query(f"""WITH p AS ({_PROFILE}), e AS (SELECT page, min(x) AS a, max(x) AS z FROM p WHERE ink > 25 GROUP BY page),
+     q AS (SELECT page, x, x - row_number() OVER (PARTITION BY page ORDER BY x) AS island FROM p JOIN e USING (page) WHERE x BETWEEN a AND z AND ink <= 25)
+SELECT page, min(x)::BIGINT AS start, max(x)::BIGINT + 1 AS stop FROM q GROUP BY page, island HAVING count(*) >= 2""")
+def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.gutters(profile(spark, sf_dir), ["page"], "x", "ink", F.lit(2), 25)
+
+
+@query(f"""WITH q AS (SELECT page, x, x - row_number() OVER (PARTITION BY page ORDER BY x) AS island FROM ({_PROFILE}) WHERE ink < 30)
+SELECT page, min(x)::BIGINT AS start, max(x)::BIGINT + 1 AS stop FROM q GROUP BY page, island HAVING count(*) >= 3""")
+def dark_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.dark_bands(profile(spark, sf_dir), ["page"], "x", "ink", 30, 3)
+
+
+@query("""SELECT doc_id, CASE WHEN bare = '' THEN 0 ELSE length(regexp_replace(bare, '[^\\p{L}\\p{N}\\p{M}]', '', 'g')) / length(bare) END::DOUBLE AS share
+FROM (SELECT doc_id, regexp_replace(text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]', '', 'g') AS bare FROM documents)""")
+def wordlike_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", profiles.wordlike(F.col("text")).alias("share"))
+
+
+@query("""SELECT doc_id, CASE WHEN place > 0 AND key <> '' THEN array_to_string(list_transform(lines, lambda x, i: CASE WHEN i = place THEN 'changed' ELSE x END), chr(10)) ELSE text END AS text
+FROM (SELECT *, coalesce(list_position(list_transform(lines, lambda x: regexp_replace(x, '\\s+', '', 'g')), key), 0) AS place
+      FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines, regexp_replace(string_split(text, chr(10))[-1], '\\s+', '', 'g') AS key FROM documents))""")
+def replaced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line that reads like the last one, changed."""
+    last = F.element_at(F.split("text", "\n"), -1)
+    return table(spark, sf_dir, "documents").select("doc_id", profiles.with_line(F.col("text"), last, F.lit("changed")).alias("text"))
+
+
 # -- regression -------------------------------------------------------------
 
 
