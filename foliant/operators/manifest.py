@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,18 @@ def regression(golden: DataFrame, current: DataFrame, key: str = "path") -> Data
     return both.select(key, "old_status", "new_status", outcome.alias("outcome"))
 
 
+def similarity(old: Column, new: Column) -> Column:
+    """How much of two texts is in common, line by line in order: twice the matched lines by all lines; 1 for equal texts,
+    null where one is null."""
+
+    def ratio(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        return 1.0 if a == b else SequenceMatcher(None, a.splitlines(), b.splitlines(), autojunk=False).ratio()
+
+    return F.arrow_udf(lambda a, b: pa.array([ratio(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64()), "double")(old, new)
+
+
 def missing_phrases(docs: DataFrame, phrases: DataFrame, key: str = "path") -> DataFrame:
     """(key, phrase) of phrases that a document should hold and, white space aside, doesn't."""
     squashed = lambda c: F.regexp_replace(c, r"(?U)\s+", "")

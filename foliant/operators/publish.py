@@ -81,8 +81,32 @@ def publish(rows: DataFrame, folder: str, policy: str = "unique") -> DataFrame:
 
 
 def write_report(results: DataFrame, path: str) -> None:
-    """The report as JSON lines."""
-    manifest.report(results).write.mode("overwrite").json(path)
+    """The report: a file that ends in .json is one array, by source and a partition of rows at a time; else a folder of
+    JSON lines."""
+    report = manifest.report(results)
+    if not path.endswith(".json"):
+        report.write.mode("overwrite").json(path)
+        return
+    rows = report.select("source", F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"}).alias("__json")).orderBy("source")
+
+    def parts() -> Iterator[bytes]:
+        mark = "[\n"
+        for row in rows.toLocalIterator():
+            yield f"{mark}  {row[1]}".encode()
+            mark = ",\n"
+        yield b"[]\n" if mark == "[\n" else b"\n]\n"
+
+    write_atomically(*opened(path), parts())
+
+
+def as_text(markdown: Column) -> Column:
+    """Markdown as plain text: no marks of headings, emphasis, lists and links; tables with tabs, fences without marks."""
+    out = F.regexp_replace(markdown, r"(?m)^[ \t]*(?:```|~~~)[^\n]*\n?", "")
+    out = F.regexp_replace(out, r"(?m)^\|(?:[ \t]*:?-+:?[ \t]*\|)+[ \t]*(?:\n|\z)", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?m)^#{1,6}[ \t]+|^[ \t]*[-*+][ \t]+|^>[ \t]?", ""), r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"(\*{1,3})(?=\S)([^*\n]+?)(?<=\S)\1", "$2"), r"`([^`\n]+)`", "$1")
+    cells = F.regexp_replace(F.regexp_replace(out, r"(?m)^\|[ \t]*|[ \t]*(?<!\\)\|[ \t]*$", ""), r"(?m)[ \t]+(?<!\\)\|[ \t]+", "\t")
+    return F.regexp_replace(F.replace(cells, F.lit("\\|"), F.lit("|")), r"<br>", " ")
 
 
 def write_bundle(results: DataFrame, folder: str, order: str, producer: str = "foliant", version: str = "0.1", target: str = "", include_warnings: bool = False, created_at: Column | None = None) -> str:

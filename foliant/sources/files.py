@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import json
 import re
+import signal
+import threading
 import zipfile
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -156,8 +158,28 @@ READERS: dict[str, tuple[str, Reader]] = {
 MISSING = {"media": "audio and video are not read", "unknown": "the kind of file is not known"}
 
 
-def convert_one(path: str, kind: str, content: bytes | None, options: dict, readers: dict | None = None) -> dict:
-    """A file's result; whatever is wrong with one file is its own error."""
+class limit:
+    """Ends what runs inside after so many seconds, by a timer of the main thread; 0 is no limit, and so are other threads."""
+
+    def __init__(self, seconds: float):
+        self.on, self.seconds = seconds > 0 and threading.current_thread() is threading.main_thread(), seconds
+
+    def __enter__(self) -> None:
+        if self.on:
+            self.before = signal.signal(signal.SIGALRM, self.ended)
+            signal.setitimer(signal.ITIMER_REAL, self.seconds)
+
+    def ended(self, *_) -> None:
+        raise TimeoutError(f"not converted within {self.seconds:g} s")
+
+    def __exit__(self, *_) -> None:
+        if self.on:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, self.before)
+
+
+def convert_one(path: str, kind: str, content: bytes | None, options: dict, readers: dict | None = None, timeout: float = 0) -> dict:
+    """A file's result; whatever is wrong with one file is its own error, one that takes longer than timeout seconds, too."""
     readers = READERS if readers is None else readers
     name = path.rsplit("/", 1)[-1]
     out = {"success": False, "markdown": None, "error": None, "warning": None, "engine": None, "metrics": {}}
@@ -167,21 +189,22 @@ def convert_one(path: str, kind: str, content: bytes | None, options: dict, read
     try:
         if not content:
             raise ValueError("the file is empty")
-        markdown, metrics = reader(content, name, options)
+        with limit(timeout):
+            markdown, metrics = reader(content, name, options)
         warning = metrics.pop("warning", None)
         return {**out, "success": True, "markdown": markdown, "warning": warning, "engine": engine, "metrics": {k: str(v).lower() for k, v in metrics.items()}}
     except Exception as e:  # noqa: BLE001  one bad file never fails the others
         return {**out, "engine": engine, "error": f"{type(e).__name__}: {e}"}
 
 
-def converted(files: DataFrame, options: Options = Options(), readers: dict | None = None, sanitize: bool = True) -> DataFrame:
+def converted(files: DataFrame, options: Options = Options(), readers: dict | None = None, sanitize: bool = True, timeout: float = 0) -> DataFrame:
     """files (path, kind, content ...) as results: source, kind and the other columns, success, markdown, error, warning,
     engine, metrics, review_lines. Parsing runs by Arrow batches, cleaning in the JVM."""
     given = asdict(options)
 
     @F.arrow_udf(RESULT)
     def run(paths: pa.Array, whats: pa.Array, contents: pa.Array) -> pa.Array:
-        rows = [convert_one(p.as_py(), k.as_py(), c.as_py(), given, readers) for p, k, c in zip(paths, whats, contents, strict=True)]
+        rows = [convert_one(p.as_py(), k.as_py(), c.as_py(), given, readers, timeout) for p, k, c in zip(paths, whats, contents, strict=True)]
         struct = pa.struct([("success", pa.bool_()), ("markdown", pa.string()), ("error", pa.string()), ("warning", pa.string()), ("engine", pa.string()), ("metrics", pa.map_(pa.string(), pa.string()))])
         return pa.array([{**r, "metrics": list(r["metrics"].items())} for r in rows], struct)
 
@@ -193,6 +216,28 @@ def converted(files: DataFrame, options: Options = Options(), readers: dict | No
     return marked.withColumn("markdown", F.when(F.col("engine") == "text", F.col("markdown")).otherwise(clean))
 
 
+def error_class(error: Column) -> Column:
+    """Why a file has no text: timeout, unavailable (nothing reads its kind), protected or failed; null without an error."""
+    kinds_of = {"timeout": r"\ATimeoutError:", "unavailable": r"\A(?:no reader for |the kind of file is not known|audio and video )", "protected": r"(?i)password|encrypted"}
+    out = F.when(error.isNotNull(), F.lit("failed"))
+    for name, pattern in reversed(kinds_of.items()):
+        out = F.when(error.rlike(pattern), F.lit(name)).otherwise(out)
+    return out
+
+
+def strictly(results: DataFrame) -> DataFrame:
+    """results, which end the query with the first error of a file."""
+    said = F.concat_ws(": ", "source", "error")
+    return results.withColumn("success", F.when(F.col("success"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def redone(results: DataFrame, found: DataFrame, **how) -> DataFrame:
+    """results, with those that failed converted once more from found (path, kind, content ...)."""
+    failed = results.filter("NOT success").select(F.col("source").alias("path"))
+    again = converted(found.join(failed, "path", "left_semi").select(*found.columns), **how)
+    return results.filter("success").unionByName(again, allowMissingColumns=True)
+
+
 def registered(spark: SparkSession) -> None:
     """html_to_markdown(html, name) for SQL."""
 
