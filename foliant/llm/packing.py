@@ -16,7 +16,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.bpe import cut, merges_of
 from foliant.llm.common import bounded_batches, plain_memory, staged, text_slices, word_table
 
 CAPACITY = 4096
@@ -36,6 +37,8 @@ SLICE_BYTES = 8 << 20
 #: Words of one generation that a task remembers.
 REMEMBERED = 500_000
 WORDS_AT_ONCE = 2000
+#: Words whose ids are copied to their places at once.
+WORDS_PLACED = 32_768
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space in the tokenizer's own sense; splitting there never changes ids.
 CUTS = (0x20, 0x09, 0x0A, 0x0D)
@@ -44,15 +47,16 @@ CUTS = (0x20, 0x09, 0x0A, 0x0D)
 class WordTokenizer:
     """Ids of whole texts, each distinct word of a slice being looked up or encoded once.
 
-    Words are remembered in two generations: where the newer one is full it becomes the older, whose words are forgotten
-    unless they were met again. Ids are kept as bytes, which is compact."""
+    Where the tokenizer is of the kind that ``bpe`` knows, plain strings are merged there by array operations. Other words
+    go to the tokenizer and are remembered in two generations: where the newer one is full it becomes the older, whose words
+    are forgotten unless they were met again. Ids are kept as bytes, which is compact."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.lowers = '"Lowercase"' in spec
+        self.merges = merges_of(spec)
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -81,17 +85,33 @@ class WordTokenizer:
         found = [newer[w] for w in words]
         return np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), np.uint32)
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of each text's ids, and the ids of all texts."""
-        # the tokenizer lower-cases all but its special tokens, so case is no reason to encode a word twice
-        lower = self.lowers and not pc.any(pc.match_substring(texts, "<|")).as_py()
-        bounds, words, distinct = word_table(texts, CUTS, lower)
-        sizes, flat = self.distinct_ids(distinct.to_pylist())
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[words]
+    def coded(self, texts: pa.Array, special: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of each text's words, each word's number, the number of ids by word, and all words' ids."""
+        if special or self.merges is None:
+            bounds, words, distinct = word_table(texts, CUTS)
+            return bounds, words, *self.distinct_ids(distinct.to_pylist())
+        bounds, words, distinct, apart = cut(texts)
+        plain, ids = self.merges.ids(distinct.filter(pa.array(~apart)))
+        hard, more = self.distinct_ids(distinct.filter(pa.array(apart)).cast(pa.large_string()).to_pylist())
+        # plain words come first
+        number = np.empty(len(apart), np.int32)
+        number[~apart], number[apart] = np.arange(len(plain)), np.arange(len(plain), len(apart))
+        return bounds, number[words], np.concatenate((plain, hard)), np.concatenate((ids, more))
+
+    def ids(self, texts: pa.Array, end_id: int, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each text's ids, and the ids of all texts, ``end_id`` behind each. special: texts may hold <|, with
+        which the names of added tokens start."""
+        bounds, words, sizes, flat = self.coded(texts, special)
+        words = np.insert(words, bounds[1:], len(sizes))
+        sizes, flat = np.append(sizes, 1), np.append(flat, np.uint32(end_id))
+        starts, each = np.cumsum(sizes) - sizes, sizes[words]
         ends = np.concatenate(([0], np.cumsum(each)))
-        at = np.repeat(starts[words] - ends[:-1], each) + np.arange(ends[-1])
-        return ends[bounds], flat[at]
+        out = np.empty(ends[-1], "<u4")
+        for i in range(0, len(words), WORDS_PLACED):
+            j = min(i + WORDS_PLACED, len(words))
+            at = np.repeat(starts[words[i:j]] - ends[i:j], each[i:j]) + np.arange(ends[i], ends[j])
+            out[ends[i] : ends[j]] = flat[at]
+        return ends[bounds + np.arange(len(bounds))], out
 
 
 @lru_cache(maxsize=1)
@@ -109,16 +129,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         plain_memory()
         encoder = _encoder(spec.value)
         for whole in batches:
-            for part in text_slices(whole, "text", SLICE_BYTES):
-                bounds, ids = encoder.ids(part.column("text"))
-                n = part.num_rows
-                ends = bounds[1:] + np.arange(n)  # where each document's end id goes
-                out = np.empty(len(ids) + n, "<u4")
-                last = np.zeros(len(out), bool)
-                last[ends] = True
-                out[last], out[~last] = end_id, ids
+            special = pc.fill_null(pc.match_substring(whole.column("text"), "<|"), False)
+            slices = chain.from_iterable(zip(text_slices(whole.filter(m), "text", SLICE_BYTES), repeat(k)) for k, m in ((False, pc.invert(special)), (True, special)))
+            for part, named in slices:
+                starts, out = encoder.ids(part.column("text"), end_id, named)
                 data, rows = memoryview(out).cast("B"), []
-                starts = np.concatenate(([0], ends + 1))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     for k, s in enumerate(range(a, b, capacity)):
                         e = min(b, s + capacity)
